@@ -17,7 +17,7 @@ billion cells. Transitions are computed when first taken and kept in a table.
 Edge cases: a null text encodes as an empty one (no ids, decoded ``""``); strings
 of special tokens in a text become their ids, as the reference library has it;
 texts of any length are encoded whole; repeated rows are encoded alike; other
-columns are kept, and an output name that is taken is refused.
+columns are kept, and an input column named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from loomgraph.llm.columns import without
 from loomgraph.session import prepare
 
 #: GPT-2's pre-tokenisation.
@@ -275,8 +276,7 @@ def load(spark: SparkSession, path: str) -> Any:
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """Adds the ids of every whole text, how many they are and, if named, the text decoded from them."""
     new = [ids, n_tokens, *([decoded] if decoded else [])]
-    if taken := {c.lower() for c in docs.columns} & {c.lower() for c in new}:
-        raise ValueError(f"columns are there already: {sorted(taken)}")
+    docs = without(docs, new)
     spark = prepare(docs.sparkSession)
     tokenizer = load(spark, path)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(n_tokens, T.LongType(), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
@@ -299,8 +299,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
 
 def decode(df: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that ids spell; null ids give an empty text."""
-    if text.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column is there already: {text}")
+    df = without(df, [text])
     spark = prepare(df.sparkSession)
     tokenizer = load(spark, path)
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
