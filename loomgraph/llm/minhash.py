@@ -18,7 +18,7 @@ only; links become components, and what remains are pairs of one bucket in
 similar by size, or, by the triangle inequality of Jaccard distance, by their
 distances from the bucket's first member. So no link between components is lost,
 and no bucket ever gives all its pairs. Verification takes the whole texts of
-the candidates, never of all documents.
+documents that share a bucket with another, never of all.
 
 Edge cases: null texts have no words; rows with a null id are kept and get no
 component; rows that share an id are one node; an empty table gives an empty
@@ -125,13 +125,13 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, row
     return source.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(a, b, common, total) of each pair, from the shingles of both whole texts."""
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = texts.join(involved, "id", "left_semi")
-    heads = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(heads.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, common, total) of each pair, from the shingles of both whole texts.
+
+    The joins are sort-merge joins at every size: texts are never broadcast, and AQE splits a hot ``b``.
+    """
+    heads = texts.join(pairs.select(F.col("b").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(heads.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, known = None, None
@@ -186,10 +186,12 @@ def groups_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pe
     nodes = filled.join(sets.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = nodes.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").select("key", "center")
     members = kept(nodes.join(buckets, "key"), "members")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    texts = kept(texts, "texts")
     size_of = members.where("id = center").select("center", F.col("n").alias("center_n")).distinct()
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = members.where("id <> center").select("id", "center", "n").distinct().join(size_of, "center").where(fits(F.col("n"), F.col("center_n"))).select(F.col("id").alias("a"), F.col("center").alias("b"))
-    first = kept(_verified(stars.distinct(), docs, doc_id, text, width), "first")
+    first = kept(_verified(stars.distinct(), texts, width), "first")
     is_link = F.col("common") * 100 >= F.col("total") * percent
     found = kept(components(first.where(is_link)), "found")
 
@@ -206,7 +208,7 @@ def groups_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pe
     pairs = pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     pairs = kept(pairs, "pairs")
     if not pairs.isEmpty():
-        second = kept(_verified(pairs, docs, doc_id, text, width).where(is_link), "second")
+        second = kept(_verified(pairs, texts, width).where(is_link), "second")
         if not second.isEmpty():
             found = components(second.select("a", "b").union(found.select("node", "component")))
     ids = sketch.join(sets, same, "left").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("node").alias("node"))
