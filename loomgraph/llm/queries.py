@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, licenses, media, minhash, quality, substrings, toxicity
+from loomgraph.llm import bpe, decontam, licenses, media, minhash, packing, quality, substrings, toxicity, warc
 
 #: Folder of public tokenizer files.
 TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), BYTE_RANKS)
+    return packed.select("shard", "bin", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.fit(docs)).select("doc_id", "quality_score", "accepted")
@@ -92,6 +98,12 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN comp ON node = d.doc_id
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.col("matches.item_id").alias("item_ids"), F.array_min("matches.edits").alias("least_edits"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,18 +141,68 @@ FROM w LEFT JOIN found USING (doc_id)
 """
 
 
+def warc_records(pages: DataFrame) -> DataFrame:
+    """Captures bound to the pages table: of each page a full response and two later revisits, with or without fitting validators."""
+    k, page = F.col("k"), F.col("page_id")
+    second = F.lit(1704067200) + page * 7919 % 100003 + k * 60000
+    tag = F.when(k < 2, F.md5("html")).when(page % 3 == 1, F.lit("stale"))
+    changed = F.when((k == 0) | (k == 2) & (page % 3 == 2), page.cast("string"))
+    stored = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("ETag"), tag, F.lit("Last-Modified"), changed)
+    update = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Date"), second.cast("string"), F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Last-Modified"), changed)
+    return pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(
+        (page * 3 + k).alias("record_id"),
+        "url",
+        F.when(k == 0, "response").otherwise("revisit").alias("kind"),
+        F.when(k > 0, warc.NOT_MODIFIED).alias("profile"),
+        F.timestamp_seconds(second).alias("date"),
+        F.map_filter(F.when(k == 0, stored).otherwise(update), lambda _, v: v.isNotNull()).alias("headers"),
+        F.when(k == 0, F.encode("html", "UTF-8")).alias("payload"),
+    )
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc_records(read(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return found.select("record_id", "url_key", "refers_to", "status", F.array_join(pairs, "|").alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
+OP10_SQL = r"""
+WITH bare AS (SELECT page_id, url, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+cut AS (SELECT page_id, url, html, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS r FROM bare),
+parts AS (SELECT page_id, url, html, regexp_replace(regexp_replace(h, '^www\.', ''), ':(80|443)$', '') AS h, regexp_replace(regexp_extract(r, '^([^?]*)', 1), '/+$', '') AS p,
+  array_to_string(list_sort([q FOR q IN string_split(regexp_extract(r, '\?(.*)$', 1), '&') IF q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')]), '&') AS q FROM cut),
+keyed AS (SELECT page_id, html, CASE WHEN h = '' THEN url ELSE h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key FROM parts),
+rec AS (SELECT page_id * 3 + k AS record_id, k, page_id, url_key, 1704067200 + page_id * 7919 % 100003 + k * 60000 AS sec,
+  CASE WHEN k < 2 THEN md5(html) WHEN page_id % 3 = 1 THEN 'stale' END AS tag, CASE WHEN k = 0 OR (k = 2 AND page_id % 3 = 2) THEN CAST(page_id AS VARCHAR) END AS changed, html
+  FROM keyed, (SELECT unnest([0, 1, 2]) AS k)),
+pairs AS (SELECT v.record_id, v.url_key, v.sec, v.tag, v.changed, r.record_id AS refers_to, r.tag AS s_tag, r.changed AS s_changed, r.html,
+  row_number() OVER (PARTITION BY v.record_id ORDER BY r.sec DESC, r.record_id DESC) AS n
+  FROM rec v LEFT JOIN rec r ON r.k = 0 AND r.url_key = v.url_key AND (r.sec < v.sec OR (r.sec = v.sec AND r.record_id < v.record_id)) WHERE v.k > 0),
+judged AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'orphan' WHEN tag IS NOT NULL THEN CASE WHEN tag = s_tag THEN 'resolved' ELSE 'mismatch' END
+  WHEN changed IS NOT NULL THEN CASE WHEN changed = s_changed THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS status FROM pairs WHERE n = 1)
+SELECT record_id, url_key, refers_to, status,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN 'content-length:' || strlen(html) || '|content-type:text/html|date:' || sec || '|etag:' || coalesce('W/' || tag, s_tag) || '|last-modified:' || coalesce(changed, s_changed) END AS headers,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN sha256(html) END AS payload_sha256
+FROM judged
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_token_packing": op2_token_packing,
     "op3_quality": op3_quality,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
     "op9_license_scan": _op9_sql(),
+    "op10_warc_revisits": OP10_SQL,
 }
