@@ -44,6 +44,7 @@ BINDINGS: dict[str, str] = {
     "churn": f"SELECT event_id, event_type || '/' || CAST({_K} AS STRING) || '.ts' AS path, user_id AS author, CAST(ts AS DATE) AS day, ts, CAST(event_id % 50 AS BIGINT) AS added, CAST(event_id % 20 AS BIGINT) AS deleted, {_K} AS k FROM events",
     "frame": "SELECT day, path, max(added) AS calls_in, max(deleted) AS calls_out, count(*) AS unresolved FROM churn GROUP BY day, path",
     "run": "SELECT l_orderkey AS run_id, l_suppkey AS case_id, l_returnflag AS arm, CAST(l_linenumber AS INT) AS replicate, l_quantity AS tokens, l_extendedprice AS cost, l_tax AS share, l_discount > 0.08 AS invalid, CASE WHEN l_discount > 0.09 THEN 'no-diff' WHEN l_discount > 0.08 THEN 'timed-out' END AS reason, CASE l_suppkey % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' END AS level, CASE WHEN l_tax < 0.03 THEN 'incorrect' WHEN l_tax < 0.06 THEN 'partial' ELSE 'correct' END AS grade, CASE WHEN l_linestatus = 'F' THEN l_returnflag = 'A' END AS took_up, 'j' || CAST(l_partkey % 50 AS STRING) AS judgement, l_partkey FROM lineitem",
+    "claim": "SELECT p_partkey AS claim_no, 'doc' || CAST(p_partkey % 17 AS STRING) AS doc, CAST(p_partkey % 5 AS INT) AS section, CASE p_partkey % 16 WHEN 0 THEN 'exists(p' || k || ')' WHEN 1 THEN '!exists(gone' || k || ')' WHEN 2 THEN 'calls(p' || k || ', p' || t || ')' WHEN 3 THEN '!calls(p' || k || ', p' || t || ')' WHEN 4 THEN 'calls(p' || k || ', p' || CAST(p_partkey + 1 AS STRING) || ')' WHEN 5 THEN '! calls(p' || k || ', p' || CAST(p_partkey + 1 AS STRING) || ')' WHEN 6 THEN 'extends(p' || k || ', p' || t || ')' WHEN 7 THEN 'imports(p' || k || ', p' || t || ')' WHEN 8 THEN 'hasLabel(p' || k || ', role, test)' WHEN 9 THEN 'onlyCalledBy(p' || k || ', r1/)' WHEN 10 THEN 'callers(p' || k || ') == ' || CAST(p_partkey % 30 AS STRING) WHEN 11 THEN 'callers(p' || k || ') == ' || c WHEN 12 THEN 'usesType(p' || k || ', gone1)' WHEN 13 THEN CASE WHEN p_partkey % 3 = 0 THEN 'exports(p' || k || ')' WHEN p_partkey % 3 = 1 THEN 'likes(p' || k || ')' ELSE 'not a claim' END WHEN 14 THEN CASE WHEN p_partkey % 3 = 0 THEN 'calls(p' || k || ')' WHEN p_partkey % 3 = 1 THEN 'callers(p' || k || ') == many' ELSE 'hasLabel(p' || k || ', colour, red)' END ELSE 'exists(gone' || k || ')' END AS text FROM (SELECT p_partkey, CAST(p_partkey AS STRING) AS k, CAST(coalesce(to_no, 0) AS STRING) AS t, CAST(coalesce(n_from, 0) AS STRING) AS c FROM part LEFT JOIN (SELECT from_no AS key_a, min(to_no) AS to_no FROM call_edge GROUP BY from_no) u ON key_a = p_partkey LEFT JOIN (SELECT to_no AS key_b, count(DISTINCT from_id) AS n_from FROM call_edge GROUP BY to_no) v ON key_b = p_partkey WHERE p_partkey < 1600) z",
 }
 
 
