@@ -170,6 +170,6 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return pa.table([*[left.column(c) for c in names], pa.array(np.diff(bounds)), pa.array(n_removed), spans, pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, *added])
 
     sent = spread.groupBy(unit).applyInArrow(send, "bucket int, unit int, ids binary, runs binary, hashes binary")
-    answers = sent.repartition(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(answer, "unit int, bucket int, bits binary").withColumnRenamed("unit", unit)
+    answers = sent.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(answer, "unit int, bucket int, bits binary").withColumnRenamed("unit", unit)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept", T.StringType())])
     return spread.groupBy(unit).cogroup(answers.groupBy(unit)).applyInArrow(apply, schema)
