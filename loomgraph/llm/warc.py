@@ -55,8 +55,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _lower_keys(headers: Column) -> Column:
-    """Header names in lower case; of names that differ by case only, the first counts."""
-    pairs = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """Header names in lower case; of names that differ by case only, the first in byte order counts."""
+    pairs = F.transform(F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     firsts = F.filter(pairs, lambda e, i: F.array_position(F.transform(pairs, lambda p: p["key"]), e["key"]) == i + 1)
     return F.map_from_entries(firsts)
 
