@@ -59,6 +59,7 @@ def joined_hash(parts: Column, separator: str = "|") -> Column:
 
 def wave(imports: DataFrame, seed: DataFrame, reshaped: Callable[[DataFrame], DataFrame], most: int = 8) -> DataFrame:
     """(path, wave): files to extract again. Importers follow of files whose export shape moved, up to ``most`` waves."""
+    imports = checkpoint(imports.select("from_path", "to_path").distinct())
     visited = pending = checkpoint(seed.select("path").distinct().withColumn("wave", F.lit(0)))
     for w in range(1, most + 1):
         moved = reshaped(pending.select("path"))

@@ -7,6 +7,9 @@ level. No neighbourhood or frontier is gathered on the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,26 +50,55 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return visited.drop("trail")
 
 
-def reaches(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+#: Distinct edges up to which a walk may send all of them to each worker.
+BROADCAST_EDGES = 1_000_000
+
+
+def _reaches_from_broadcast(hops: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
+    """The same for a graph that was counted and is small: each start is searched by itself, all starts in parallel."""
+    near: dict[str, list[str]] = {}
+    for row in hops.toLocalIterator():
+        near.setdefault(row["id"], []).append(row["dst"])
+    sent = hops.sparkSession.sparkContext.broadcast(near)
+
+    def search(table: pa.Table) -> pa.Table:
+        start, wanted = table.column("a")[0].as_py(), table.column("b").to_pylist()
+        left, seen, frontier = set(wanted), set(), [start]
+        for _ in range(depth):
+            frontier = list({n for v in frontier for n in sent.value.get(v, ())} - seen)
+            seen.update(frontier)
+            left.difference_update(frontier)
+            if not frontier or not left:
+                break
+        return pa.table([table.column("a"), table.column("b"), pa.array([b not in left for b in wanted])], names=["a", "b", "holds"])
+
+    return asked.groupBy("a").applyInArrow(search, "a string, b string, holds boolean")
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, depth: int, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(a, b, holds): whether b is reached from a by one hop or more, for all pairs at once.
 
-    ``reaches(x, x)`` holds only through a cycle. Frontiers carry their start, and pairs that are settled leave the walk.
+    ``reaches(x, x)`` holds only through a cycle. A graph of ``broadcast_edges`` edges at most is
+    sent to the workers; a larger one is walked by joins, with frontiers that carry their start. Every few levels what
+    was seen is written as one table, and starts whose pairs are all settled leave the walk.
     """
-    open_pairs = checkpoint(pairs.select("a", "b").distinct())
-    frontier = open_pairs.select("a", F.col("a").alias("id")).distinct()
-    seen = checkpoint(frontier.limit(0))
-    settled = None
-    for _ in range(depth):
-        frontier = checkpoint(frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("a", F.col("dst").alias("id")).distinct().join(seen, ["a", "id"], "left_anti"))
+    hops = checkpoint(edges.select(F.col("src").alias("id"), "dst").distinct())
+    asked = checkpoint(pairs.select("a", "b").distinct())
+    if hops.count() <= broadcast_edges:
+        return _reaches_from_broadcast(hops, asked, depth)
+    frontier = checkpoint(asked.select("a", F.col("a").alias("id")).distinct())
+    seen = frontier.limit(0)
+    for d in range(1, depth + 1):
+        frontier = checkpoint(frontier.join(hops, "id").select("a", F.col("dst").alias("id")).distinct().join(seen, ["a", "id"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-        hit = open_pairs.join(frontier.withColumnRenamed("id", "b"), ["a", "b"], "left_semi")
-        settled = hit if settled is None else settled.union(hit)
-        frontier = frontier.join(open_pairs.join(settled, ["a", "b"], "left_anti").select("a").distinct(), "a", "left_semi")
-    if settled is None:
-        return pairs.select("a", "b").distinct().withColumn("holds", F.lit(False))
-    return pairs.select("a", "b").distinct().join(settled.distinct().withColumn("hit", F.lit(True)), ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("holds"))
+        if d % 6 == 0:
+            seen = checkpoint(seen.coalesce(max(frontier.rdd.getNumPartitions(), 1)))
+            left = asked.join(seen.withColumnRenamed("id", "b"), ["a", "b"], "left_anti").select("a").distinct()
+            frontier = checkpoint(frontier.join(left, "a", "left_semi"))
+    hit = seen.select("a", F.col("id").alias("b"), F.lit(True).alias("hit"))
+    return asked.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("holds"))
 
 
 def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -100,18 +132,47 @@ def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return ended.orderBy("path")
 
 
-def pagerank(links: DataFrame, nodes: DataFrame, rounds: int = 40, damping: float = 0.85) -> DataFrame:
-    """(id, rank) by weight-proportional PageRank; what dangling nodes hold is spread evenly. ``links``: (a, b, n)."""
+def _pagerank_in_one_task(links: DataFrame, nodes: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """The same for a graph that was counted and is small: one task iterates over arrays."""
+
+    def iterate(table: pa.Table) -> pa.Table:
+        node = table.filter(pc.is_null(table.column("b"))).column("a").combine_chunks()
+        link = table.filter(pc.is_valid(table.column("b")))
+        a, b = (pc.index_in(link.column(c), node).to_numpy() for c in ("a", "b"))
+        w = link.column("n").to_numpy().astype(float)
+        n = len(node)
+        out = np.bincount(a, weights=w, minlength=n)
+        w, dangling, rank = w / out[a], out == 0, np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            into = np.bincount(b, weights=rank[a] * w, minlength=n)
+            rank = (1 - damping) / n + damping * (into + rank[dangling].sum() / n)
+        return pa.table([node, pa.array(rank)], names=["id", "rank"])
+
+    rows = nodes.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("long").alias("n")).union(links.select("a", "b", "n"))
+    return rows.groupBy(F.lit(1).alias("one")).applyInArrow(iterate, "id string, rank double")
+
+
+def pagerank(links: DataFrame, nodes: DataFrame, rounds: int = 40, damping: float = 0.85, small: int = BROADCAST_EDGES) -> DataFrame:
+    """(id, rank) by weight-proportional PageRank; what dangling nodes hold is spread evenly. ``links``: (a, b, n).
+
+    Up to ``small`` links and nodes, which are counted, one task iterates; beyond that each round is a join.
+    """
+    links = checkpoint(links.select("a", "b", "n"))
+    if links.count() <= small and nodes.count() <= small:
+        return _pagerank_in_one_task(links, nodes, rounds, damping)
     total = F.sum("n").over(Window.partitionBy("a"))
     share = checkpoint(links.withColumn("w", F.col("n") / total).select(F.col("a").alias("id"), "b", "w"))
     n = nodes.count()
     base = checkpoint(nodes.join(share.select("id").distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
     rank = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    spread = not base.where("dangling").isEmpty()
     for k in range(1, rounds + 1):
-        into = rank.join(share, "id").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("into"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))  # one row
-        rank = base.join(into, "id", "left").join(F.broadcast(lost), how="inner").select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("into", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % 4 == 0 or k == rounds:
+        # A counted, small table of ranks is sent to the edges; else both sides meet by a shuffle.
+        into = share.join(F.broadcast(rank) if n <= small else rank, "id").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("into"))
+        # Ranks are written before each sum, so that no round is computed twice.
+        lost = rank.where("dangling").agg(F.sum("rank")).first()[0] if spread else 0.0
+        rank = base.join(F.broadcast(into) if n <= small else into, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * (F.coalesce("into", F.lit(0.0)) + lost / n)).alias("rank"))
+        if spread or k % 8 == 0 or k == rounds:
             rank = checkpoint(rank)
     return rank.select("id", "rank")
 
