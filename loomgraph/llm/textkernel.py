@@ -122,12 +122,17 @@ class Words:
 
     def hashes(self, values: np.ndarray = VALUES) -> np.ndarray:
         """A mixed 64-bit hash of each word."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _powers(_BASE, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(values[self.data] * power[: len(self.data)], out=sums[1:])
-        out = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
+        out = np.empty(len(self.starts), np.uint64)
+        first = 0
+        while first < len(out):  # a long text in runs of words, so that sums stay short
+            last = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + CHUNK_BYTES, side="right")))
+            begin, end = self.starts[first], self.ends[last - 1]
+            power, inverse = _powers(_BASE, end - begin + 1)
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(values[self.data[begin:end]] * power[:-1], out=sums[1:])
+            starts, ends = self.starts[first:last] - begin, self.ends[first:last] - begin
+            out[first:last] = (sums[ends] - sums[starts]) * inverse[starts]
+            first = last
         out += (self.ends - self.starts).astype(np.uint64)
         return mix(out)
 
