@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import labels as L
 
-SHAPE = r"^(!?)\s*([A-Za-z][A-Za-z0-9]*)\s*\(([^)]*)\)\s*(.*)$"
+_NAME = "([A-Za-z][0-9A-Za-z]*)"
+_ARGUMENTS = r"\(([^)]*)\)"
+SHAPE = r"^(!?)\s*" + _NAME + r"\s*" + _ARGUMENTS + r"\s*(.*)$"
 ARITY = {"exists": 1, "calls": 2, "reaches": 2, "references": 2, "extends": 2, "implements": 2, "usesType": 2, "imports": 2, "hasLabel": 3, "onlyCalledBy": 2, "callers": 1, "implementations": 1}
 COUNTS = ("callers", "implementations")
 NO_BACKEND = ("exports", "dependsOn")

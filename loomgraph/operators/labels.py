@@ -59,7 +59,7 @@ def classify(paths: DataFrame, rules: list[tuple[str, str | None, str | None]])
     return paths.withColumns(out)
 
 
-TEST_PATHS = (r"(^|/)__tests__/", r"(^|/)tests?/", r"\.(test|spec)\.[cm]?[jt]sx?$", r"(^|/)e2e/", r"(^|/)fixtures?/")
+TEST_PATHS = (r"(^|/)__tests__/", r"(^|/)tests?/", r"\.(spec|test)\.(c|m)?(j|t)sx?$", r"(^|/)e2e/", r"(^|/)fixtures?/")
 CONFIG_PATHS = (r"(^|/)\.[^/]+rc\.[cm]?[jt]s$", r"\.config\.[cm]?[jt]s$", r"(^|/)(vite|jest|next)\.[^/]*$")
 CODEGEN_PATHS = (r"(^|/)__generated__/", r"(^|/)generated/", r"\.generated\.[cm]?[jt]sx?$", r"\.gen\.[cm]?[jt]sx?$", r"\.pb\.[cm]?[jt]s$", r"_pb\.[cm]?[jt]s$")
 

@@ -29,7 +29,7 @@ def _(f: Facts) -> DataFrame:
     return f.documents.select(F.explode(S.links(F.expr(_DOC))).alias("target")).groupBy("target").agg(F.count("*").alias("n")).orderBy("target")
 
 
-@query("repo_links", f"SELECT DISTINCT regexp_replace(target, '[#?].*$', '') AS target FROM ({_LINK_SQL}) q WHERE regexp_replace(target, '[#?].*$', '') <> '' AND NOT regexp_matches(target, '(?i)^(?:[a-z][a-z0-9+.-]*:|//)')")
+@query("repo_links", f"SELECT DISTINCT regexp_replace(target, '[#?].*$', '') AS target FROM ({_LINK_SQL}) q WHERE regexp_replace(target, '[#?].*$', '') <> '' AND NOT starts_with(target, '//') AND NOT regexp_matches(target, '^[A-Za-z][-+.0-9A-Za-z]*:')")
 def _(f: Facts) -> DataFrame:
     found = f.documents.select(F.explode(S.links(F.expr(_DOC))).alias("target")).where(S.is_repo_link(F.col("target")))
     return found.select(F.regexp_replace("target", r"[#?].*$", "").alias("target")).distinct()

@@ -26,7 +26,8 @@ def git_log(lines: DataFrame) -> DataFrame:
     ``-`` counts as 0, quoted paths are dropped.
     """
     head = r"^@(\d+) (.*)$"
-    stat = r"^(\d+|-)\t(\d+|-)\t(.+)$"
+    count = "([0-9]+|-)"
+    stat = rf"^{count}\t{count}\t(.+)$"
     along = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_head = F.col("line").rlike(head)
     carried = lines.withColumn("h", F.last(F.when(is_head, F.col("line")), ignorenulls=True).over(along))
@@ -48,7 +49,9 @@ def unified_diff(lines: DataFrame) -> DataFrame:
     return body.groupBy("doc", "file_no", "path", "hunk").agg(F.count_if(F.col("line").startswith("+")).alias("added"), F.count_if(F.col("line").startswith("-")).alias("removed"))
 
 
-LINK = r"\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)"
+_LABEL = r"\[[^\]]*\]"
+_PLACE = r"\(\s*<?([^\s>)]+)"
+LINK = _LABEL + _PLACE + r">?[^)]*\)"
 
 
 def links(text: Column) -> Column:
@@ -59,7 +62,7 @@ def links(text: Column) -> Column:
 def is_repo_link(target: Column) -> Column:
     """Neither empty, nor with a scheme, nor from the host's root; checked without query and fragment."""
     bare = F.regexp_replace(target, r"[#?].*$", "")
-    return (bare != "") & ~bare.rlike(r"(?i)^(?:[a-z][a-z0-9+.-]*:|//)")
+    return (bare != "") & ~bare.startswith("//") & ~bare.rlike(r"^[A-Za-z][-+.0-9A-Za-z]*:")
 
 
 def resolve(path: Column) -> Column:
@@ -87,7 +90,7 @@ def sections(lines: DataFrame) -> DataFrame:
         out: list[list] = [[doc, 0, None, 0, 0]]
         fence = ""
         for pos, line in rows:
-            mark = re.match(r"^ {0,3}(`{3,}|~{3,})(.*)$", line)
+            mark = re.match(r"^[ ]{0,3}(~~~+|```+)(.*)$", line)
             if fence:
                 if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
                     fence = ""

@@ -52,7 +52,7 @@ def test_depth_from_entries(spark):
     assert [r["depth"] for r in walks.depth_from_entries(edges, nodes).orderBy("id").collect()] == [0, 1, 2, 2, 2]
 
 
-@pytest.mark.parametrize("values,want", [([10, 30, 20, 30, 0], [0.25, 0.875, 0.5, 0.875, 0.0]), ([7], [0.5])])
+@pytest.mark.parametrize("values,want", [([10, 30, 20, 30, 0], [2 / 8, 7 / 8, 4 / 8, 7 / 8, 0 / 8]), ([7], [0.5])])
 def test_rank_normalise(spark, values, want):
     df = spark.createDataFrame(list(enumerate(values)), "i int, v int")
     assert [r["score"] for r in network.rank_normalise(df, "v").orderBy("i").collect()] == want
