@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.columns import without
+from loomgraph.llm.columns import fresh, without
 from loomgraph.llm.components import components
 from loomgraph.llm.textkernel import VALUES_LOWER, Words, chunks, mix, window_hashes, window_owner
 from loomgraph.session import prepare, scratch
@@ -159,14 +159,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, coordinates: int = COORDINATES) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept`` (whether that is the row's own)."""
     docs = without(docs, ["n_shingles", "component_id", "kept"])
-    spark = prepare(docs.sparkSession)
     groups = groups_of(docs, doc_id=doc_id, text=text, percent=percent, width=width, coordinates=coordinates)
-    key = F.col(f"`{doc_id}`").cast("long")
-    with_key = docs.withColumn("__id", key)
-    del spark
-    return with_key.join(groups.select(F.col("id").alias("__id"), "n_shingles", "component_id"), "__id", "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns], "n_shingles", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    node = fresh(docs, "node")
+    joined = docs.withColumn(node, F.col(f"`{doc_id}`").cast("long")).join(groups.withColumnRenamed("id", node), node, "left")
+    kept = F.coalesce(F.col(node) == F.col("component_id"), F.lit(True))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "n_shingles", "component_id", kept.alias("kept"))
 
 
 def groups_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, coordinates: int = COORDINATES) -> DataFrame:

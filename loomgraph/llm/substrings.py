@@ -11,8 +11,10 @@ bucket, so a window that a third of all documents share arrives once per unit.
 A bucket answers with one bit per hash: whether another unit has a smaller id
 for it. The unit repeats its hashing, which has the same order each time, and
 reads off the bits. Each word window costs some 8 bytes of shuffle one way and
-a bit back; texts are shuffled once and used twice. Units and buckets follow
-the input's size, so their memory doesn't.
+a bit back; texts are shuffled once and used twice. There is a packed value for
+each pair of unit and bucket, so both grow with the root of the input, from 8 MB
+to 128 MB of it, which keeps some tens of hashes in a value at 100 TB; from
+there on their number grows and their memory stays.
 
 Windows are told apart by 64-bit hashes; among n windows one is taken for
 another with probability n / 2**64.
@@ -37,18 +39,23 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.llm.columns import fresh, without
 from loomgraph.llm.textkernel import Words, chunks, window_hashes, window_owner
-from loomgraph.session import parts_for, prepare
+from loomgraph.session import input_bytes, prepare
 
 #: Words of a window.
 WIDTH = 50
-#: Input bytes to a unit and to a bucket.
-UNIT_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+#: Input bytes to a unit and to a bucket: at least, and at most.
+UNIT_BYTES = BUCKET_BYTES = 8 << 20
+MOST_BYTES = 128 << 20
 
 _LAST = np.iinfo(np.int64).max
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
+def part_bytes(total: int, least: int) -> int:
+    """Input bytes to a unit or bucket, growing with the root of the input beyond 4 GB."""
+    return int(min(max(least, least * (total / (4 << 30)) ** 0.5), max(least, MOST_BYTES)))
+
+
 class _Unit:
     """The distinct window hashes of a unit's documents, in an order that doesn't depend on that of the rows."""
 
@@ -111,7 +118,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = without(docs, added)
     prepare(docs.sparkSession)
     unit = fresh(docs, "unit")
-    units, buckets = parts_for(docs, unit_bytes, 4), parts_for(docs, bucket_bytes, 4)
+    total = input_bytes(docs)
+    units, buckets = (max(4, -(-total // part_bytes(total, least))) for least in (unit_bytes, bucket_bytes))
     names = docs.columns
     spread = docs.withColumn(unit, F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("long")), F.lit(units)).cast("int")).repartition(units, F.col(unit))
 

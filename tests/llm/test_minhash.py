@@ -102,4 +102,5 @@ def test_edges(edge_docs, no_docs):
     kept = minhash.near_duplicates(edge_docs, percent=85)
     assert kept.count() == len(rows)
     assert all(r["kept"] for r in kept.where("doc_id IS NULL").collect())
+    assert kept.where("__id = 'z' AND row = 'z'").count() == len(rows)
     assert minhash.near_duplicates(no_docs).count() == 0
