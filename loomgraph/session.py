@@ -56,8 +56,3 @@ def input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return total if total < 1 << 60 else df.count() << 10
-
-
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 1_000_000) -> int:
-    """How many parts of about ``bytes_each`` input bytes a plan makes."""
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
