@@ -227,10 +227,12 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample:
     found = [r for r in picked.mapInArrow(rows, "soft double, places binary, shares binary").limit(sample).collect() if r["places"]]
     if not found:
         return Model(np.zeros(1 << BITS), 0.0, {}, good)
-    places, shares = [np.frombuffer(r["places"], np.uint16).astype(np.int64) for r in found], [np.frombuffer(r["shares"], np.float32).astype(np.float64) for r in found]
-    row = np.repeat(np.arange(len(found)), [len(p) for p in places])
+    sizes = np.array([len(r["places"]) // 2 for r in found])
+    places = np.frombuffer(b"".join(r["places"] for r in found), np.uint16)
+    shares = np.frombuffer(b"".join(r["shares"] for r in found), np.float32)
     target = np.array([r["soft"] for r in found])
-    w, b = linear.fit(row, np.concatenate(places), np.concatenate(shares), target, np.ones(len(found)), 1 << BITS, l2=1e-6, rate=0.3)
+    del found
+    w, b = linear.fit(sizes, places, shares, target, np.ones(len(target)), 1 << BITS, l2=1e-6, rate=0.3)
     return Model(w, b, {name: (theta[0, k].round(4).tolist(), theta[1, k].round(4).tolist()) for k, name in enumerate(LABELLERS)}, good)
 
 

@@ -50,8 +50,42 @@ _BLOCKS = 64
 STEP = 1 << 18
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, owners, hash places) of the n-grams of runs of whole texts."""
+def _places(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, hash places) of the n-grams of texts; only of those that begin before ``most``, if given."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
+    hashed = np.zeros(len(chars), np.uint64)
+    owners, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for n in range(1, max(ORDERS) + 1):
+        m = len(chars) - n + 1
+        if m <= 0:
+            break
+        hashed = hashed[:m] * np.uint64(0xD6E8FEB86659FD93) + chars[n - 1 :]
+        if n in ORDERS:
+            whole = room[:m] >= n
+            if most is not None:
+                whole[most:] = False
+            owners.append(owner[:m][whole])
+            places.append((((hashed[whole] ^ (hashed[whole] >> np.uint64(29))) * _FACTOR) >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.concatenate(owners), np.concatenate(places)
+
+
+def gram_counts(texts: list[str | None], wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the first text, owners, hash places, times) of the n-grams of runs of whole texts, each (owner, place) once.
+
+    A long text is counted in overlapping parts, so that memory doesn't follow its length.
+    ``wanted`` marks the places to look at; without it all are.
+    """
+
+    def counted(part: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        owner, place = _places(part, most)
+        if wanted is not None:
+            some = np.flatnonzero(wanted[place])
+            owner, place = owner[some], place[some]
+        return np.unique(owner.astype(np.int64) << BITS | place, return_counts=True)
+
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -59,23 +93,15 @@ def grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray
             size += len(texts[last] or "")
             last += 1
         part = [f" {(x or '').lower()} " if x else "" for x in texts[first:last]]
-        lengths = np.array([len(x) for x in part], np.int64)
-        chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        ends = np.repeat(np.cumsum(lengths), lengths)
-        owner = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-        room = ends - np.arange(len(chars))
-        hashed = np.zeros(len(chars), np.uint64)
-        owners, places = [], []
-        for n in range(1, max(ORDERS) + 1):
-            m = len(chars) - n + 1
-            if m <= 0:
-                break
-            hashed = hashed[:m] * np.uint64(0xD6E8FEB86659FD93) + chars[n - 1 :]
-            if n in ORDERS:
-                whole = room[:m] >= n
-                owners.append(owner[:m][whole])
-                places.append((((hashed[whole] ^ (hashed[whole] >> np.uint64(29))) * _FACTOR) >> np.uint64(64 - BITS)).astype(np.int32))
-        yield first, np.concatenate(owners) if owners else np.zeros(0, np.int32), np.concatenate(places) if places else np.zeros(0, np.int32)
+        if len(part) == 1 and len(part[0]) > STEP:
+            text, keys, times = part[0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at in range(0, len(text), STEP):
+                more, n = counted([text[at : at + STEP + max(ORDERS) - 1]], STEP)
+                both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                keys, times = both, np.bincount(where.ravel(), weights=np.concatenate([times, n]), minlength=len(both)).astype(np.int64)
+        else:
+            keys, times = counted(part)
+        yield first, keys >> BITS, keys & ((1 << BITS) - 1), times
         first = last
 
 
@@ -98,14 +124,12 @@ class Model:
 def present(texts: list[str | None], slot: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, owners, kept features that are present) of runs of whole texts."""
     wanted = slot.any(axis=0)
-    for first, owner, place in grams(texts):
-        some = np.flatnonzero(wanted[place])
-        both, times = np.unique(owner[some].astype(np.int64) << BITS | place[some], return_counts=True)
+    for first, owner, place, times in gram_counts(texts, wanted):
         owners, numbers = [], []
         for level in range(LEVELS):
-            enough = both[times > level]
-            number = slot[level][enough & ((1 << BITS) - 1)]
-            owners.append((enough >> BITS)[number > 0])
+            enough = times > level
+            number = slot[level][place[enough]]
+            owners.append(owner[enough][number > 0])
             numbers.append(number[number > 0])
         yield first, np.concatenate(owners), np.concatenate(numbers).astype(np.int64)
 
@@ -127,12 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         for batch in batches:
             marks = batch.column("label").to_numpy()
             rows += np.bincount(marks, minlength=2)[:2]
-            for first, owner, place in grams(batch.column("text").to_pylist()):
-                both, times = np.unique(owner.astype(np.int64) << BITS | place, return_counts=True)
-                mark = marks[first + (both >> BITS)]
+            for first, owner, place, times in gram_counts(batch.column("text").to_pylist()):
+                mark = marks[first + owner]
                 for k in (0, 1):
                     for level in range(LEVELS):
-                        np.add.at(seen[k], (both[(mark == k) & (times > level)] & (size - 1)) + level * size, 1)
+                        np.add.at(seen[k], place[(mark == k) & (times > level)] + level * size, 1)
         if rows.sum():
             each = LEVELS * size // _BLOCKS
             yield pa.RecordBatch.from_arrays(
@@ -151,16 +174,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     if not rows.all():
         share = (rows[1] + 0.5) / (rows.sum() + 1)
         return Model(nothing, np.zeros(1), float(np.log(share / (1 - share))))
-    seen = np.concatenate([np.frombuffer(b["seen"], np.int32).reshape(2, -1) for b in blocks], axis=1).astype(np.float64)
-    p, q = seen[1] + SMOOTHING, seen[0] + SMOOTHING
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    # How much each feature's presence says about the label: the log-likelihood ratio of its two-by-two table.
+    # How much each feature's presence says about the label: the log-likelihood ratio of its two-by-two
+    # table. Block by block, so that the driver holds two numbers for each hash place.
     term = lambda x, y: x * np.log(np.maximum(x, 1e-12) / np.maximum(y, 1e-12))
-    have, n = seen.sum(axis=0), rows.sum()
-    gain = sum(term(seen[k], have * rows[k] / n) + term(rows[k] - seen[k], (n - have) * rows[k] / n) for k in (0, 1))
-    gain[(have < 3) | (gain < LEAST_GAIN)] = 0
-    best = np.argsort(-gain, kind="stable")[:features]
-    best = np.sort(best[gain[best] > 0])
+    n, sums = rows.sum(), np.full(2, SMOOTHING * LEVELS * size)
+    ratio, gain = np.empty(LEVELS * size, np.float32), np.empty(LEVELS * size, np.float32)
+    at = 0
+    for block in blocks:
+        seen = np.frombuffer(block["seen"], np.int32).reshape(2, -1).astype(np.float64)
+        sums += seen.sum(axis=1)
+        to = at + seen.shape[1]
+        ratio[at:to] = np.log(seen[1] + SMOOTHING) - np.log(seen[0] + SMOOTHING)
+        have = seen.sum(axis=0)
+        gain[at:to] = sum(term(seen[k], have * rows[k] / n) + term(rows[k] - seen[k], (n - have) * rows[k] / n) for k in (0, 1))
+        gain[at:to][have < 3] = 0
+        at = to
+    del blocks
+    ratio -= np.log(sums[1]) - np.log(sums[0])
+    gain[gain < LEAST_GAIN] = 0
+    some = np.flatnonzero(gain)
+    best = np.sort(some[np.argsort(-gain[some], kind="stable")[:features]])
     slot = nothing.copy()
     slot.reshape(-1)[best] = np.arange(1, len(best) + 1)
     chart = spark.sparkContext.broadcast(slot)
@@ -180,11 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rows_of = picked.select("text", "label").mapInArrow(rows_present, "label int, present binary").collect()
     sets = [np.frombuffer(r["present"], np.uint16).astype(np.int64) - 1 for r in rows_of]
     target = np.array([r["label"] for r in rows_of], np.float64)
-    row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    sizes, column = np.array([len(s) for s in sets]), np.concatenate(sets)
     scaled = ratio[best]
     share = target.mean()
     weight = np.where(target == 1, np.sqrt((1 - share) / share), 1.0)
-    w, b = linear.fit(row, column, scaled[column], target, weight, len(best), l2=1e-3)
+    w, b = linear.fit(sizes, column, scaled[column], target, weight, len(best), l2=1e-3)
     return Model(slot, np.append(0.0, w * scaled), b)
 
 

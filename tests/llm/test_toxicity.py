@@ -33,13 +33,22 @@ def test_held_out_accuracy(model):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
-def test_grams_are_those_of_the_text():
-    for _, owner, place in toxicity.grams(["abcd", None, "", "xyzabc"]):
-        lengths = [len(f" {t} ") if t else 0 for t in ("abcd", None, "", "xyzabc")]
-        for k, n in enumerate(lengths):
-            assert (owner == k).sum() == sum(max(n - q + 1, 0) for q in toxicity.ORDERS)
-        a, b = set(place[owner == 0].tolist()), set(place[owner == 3].tolist())
-        assert len(a & b) == 1  # "abc" only
+def test_grams_are_those_of_the_text(monkeypatch):
+    rnd = random.Random(13)
+    texts = ["abcd", None, "", "xyzabc", "é漢 " * 9, "a" * 50] + ["".join(rnd.choice("ab ") for _ in range(rnd.randrange(0, 400))) for _ in range(30)]
+
+    def counts():
+        return {(first + int(o), int(p)): int(n) for first, owner, place, times in toxicity.gram_counts(texts) for o, p, n in zip(owner, place, times, strict=True)}
+
+    whole = counts()
+    for k, t in enumerate(texts):
+        padded = f" {t} " if t else ""
+        grams = {padded[i : i + q] for q in toxicity.ORDERS for i in range(len(padded) - q + 1)}
+        total = sum(max(len(padded) - q + 1, 0) for q in toxicity.ORDERS)
+        assert sum(n for (o, _), n in whole.items() if o == k) == total
+        assert sum(o == k for o, _ in whole) == len(grams)
+    monkeypatch.setattr(toxicity, "STEP", 37)  # long texts in parts give the same counts
+    assert counts() == whole
 
 
 def test_edges(edge_docs, no_docs, model, spark):
