@@ -75,7 +75,7 @@ def _(f: Facts) -> DataFrame:
 
 @query("verify", f"SELECT text, verdict, reason, observed FROM ({_EVAL}) z WHERE claim_no < 48 AND NOT faulty")
 def _(f: Facts) -> DataFrame:
-    return _evaluated(f).where("claim_no < 48 AND NOT faulty").select("text", "verdict", "reason", "observed").orderBy("text")
+    return _evaluated(f).where("NOT faulty").select("text", "verdict", "reason", "observed").orderBy("text")
 
 
 _SECTIONS = "SELECT 'doc' || CAST(n_nationkey AS STRING) AS doc, s AS section, CASE WHEN n_nationkey * s % 13 = 5 THEN 1 ELSE 0 END AS broken_links, n_nationkey * s % 3 AS links, (n_nationkey + s) % 4 = 0 AS touched FROM nation, (SELECT {series} AS s) t WHERE n_nationkey < 20"
