@@ -46,7 +46,7 @@ _DENSE_ROOTS = "SELECT 'p' || CAST(p_partkey AS STRING) AS id FROM part WHERE p_
 
 @query("trace_cycles", _PATHS.format(src="from_id", dst="to_id", edges=f"{_DENSE} q", roots=_DENSE_ROOTS, depth=4))
 def _(f: Facts) -> DataFrame:
-    dense = f.call_edge.where("quantity >= 30 AND from_no < 200 AND to_no < 200").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    dense = f.call_edge.where("quantity >= 30").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     return _shown(walks.paths(dense, f.part.where("p_partkey < 6").selectExpr("'p' || CAST(p_partkey AS STRING) AS id"), 4))
 
 
@@ -154,7 +154,7 @@ def _(f: Facts) -> DataFrame:
 
 @query("scc", "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS s, to_id AS t FROM call_edge WHERE quantity >= 44 AND from_no < 1000 AND to_no < 1000 AND from_no <> to_no), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t), m AS (SELECT x.s AS id, least(x.s, min(x.t)) AS component FROM r x JOIN r y ON y.s = x.t AND y.t = x.s WHERE x.s <> x.t GROUP BY x.s) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m")
 def _(f: Facts) -> DataFrame:
-    return walks.strong_components(f.call_edge.where("quantity >= 44 AND from_no < 1000 AND to_no < 1000").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
+    return walks.strong_components(f.call_edge.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
 
 
 @query("fan_in_out", f"WITH l AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM ({_LINKS}) x UNION ALL SELECT from_path, to_path, n FROM file_import WHERE to_path IS NOT NULL) q WHERE a <> b GROUP BY a, b) SELECT path, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out FROM file LEFT JOIN (SELECT b, count(*) AS i FROM l GROUP BY b) x ON x.b = path LEFT JOIN (SELECT a, count(*) AS o FROM l GROUP BY a) y ON y.a = path")

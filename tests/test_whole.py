@@ -1,6 +1,9 @@
 """Queries on tables that reach beyond the ids of the smallest ones: every row counts."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.bindings import facts
 from loomgraph.plans.registry import QUERIES
@@ -10,11 +13,15 @@ MANY = 1700
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
-    """The smallest tables, with more parts."""
+    """The smallest tables with more parts and suppliers, call edges between larger ids and larger event ids."""
     at = tmp_path_factory.mktemp("whole")
-    for name in ("nation", "supplier", "lineitem", "orders", "events"):
-        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
-    part = spark.range(MANY).selectExpr("id AS p_partkey", "'n' || CAST(id % 7 AS STRING) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(20 AS INT) AS p_size", "1.0D AS p_retailprice")
+    old = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    for name in ("nation", "orders", "documents"):
+        old(name).write.parquet(f"{at}/{name}.parquet")
+    old("lineitem").withColumn("l_partkey", F.expr("CASE WHEN l_partkey < 6 THEN l_partkey ELSE l_partkey + 1500 END")).write.parquet(f"{at}/lineitem.parquet")
+    old("events").withColumn("event_id", F.col("event_id") + 5000).write.parquet(f"{at}/events.parquet")
+    spark.range(50).selectExpr("id AS s_suppkey", "'s' AS s_name", "CAST(id % 25 AS INT) AS s_nationkey", "1.0D AS s_acctbal").write.parquet(f"{at}/supplier.parquet")
+    part = spark.range(MANY).selectExpr("id AS p_partkey", "'n' || CAST(id % 35 AS STRING) AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(20 AS INT) AS p_size", "1.0D AS p_retailprice")
     part.write.parquet(f"{at}/part.parquet")
     return str(at)
 
@@ -30,3 +37,38 @@ def test_claims_are_built_from_all_parts(spark, tables):
 def test_verify_gives_every_claim_without_fault(spark, tables):
     verdicts = QUERIES["claim_verdict"](spark, tables)
     assert QUERIES["verify"](spark, tables).count() == verdicts.where("verdict IS NOT NULL").count() > 48
+
+
+def reached(out, start):
+    seen, todo = set(), [start]
+    while todo:
+        new = out.get(todo.pop(), set()) - seen
+        seen |= new
+        todo += new
+    return seen
+
+
+def hops(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["from_id"], set()).add(r["to_id"])
+    return out
+
+
+def test_cycles_between_larger_ids_are_found(spark, tables):
+    f = facts(spark, tables)
+    out = hops(f.call_edge.select("from_id", "to_id").collect())
+    near = {v: reached(out, v) for v in out}
+    groups = {v: {w for w in near[v] if v in near.get(w, ())} | {v} for v in out}
+    want = {(v, min(g), len(g)) for v, g in groups.items() if len(g) > 1}
+    got = {(r["id"], r["component"], r["size"]) for r in QUERIES["scc"](spark, tables).collect()}
+    assert got == want and any(int(v[1:]) >= 1000 for v, _, _ in got)
+
+    out, paths = hops(f.call_edge.where("quantity >= 30").select("from_id", "to_id").collect()), Counter()
+    live = [[f"p{k}"] for k in range(6)]
+    for d in range(5):
+        ends = {">".join(p): "cycle" if p[-1] in p[:-1] else "leaf" if p[-1] not in out else "depth" if d == 4 else None for p in live}
+        paths.update((k, t) for k, t in ends.items() if t)
+        live = [[*p, n] for p in live if not ends[">".join(p)] for n in out[p[-1]]]
+    assert Counter((r["path"], r["terminus"]) for r in QUERIES["trace_cycles"](spark, tables).collect()) == paths
+    assert any("p15" in p for p, _ in paths)
