@@ -72,3 +72,11 @@ def test_cycles_between_larger_ids_are_found(spark, tables):
         live = [[*p, n] for p in live if not ends[">".join(p)] for n in out[p[-1]]]
     assert Counter((r["path"], r["terminus"]) for r in QUERIES["trace_cycles"](spark, tables).collect()) == paths
     assert any("p15" in p for p, _ in paths)
+
+
+def test_every_diff_is_parsed(spark, tables):
+    want = Counter()
+    for n, kind in facts(spark, tables).events.select("event_id", "event_type").collect():
+        want.update([(n, 1, f"{kind}.ts", 1, 2, 1), (n, 1, f"{kind}.ts", 2, 0, 1)] + [(n, 2, "y.ts", 1, n % 5, 0)] * (n % 5 > 0))
+    got = QUERIES["parse_diff"](spark, tables).select("doc", "file_no", "path", "hunk", "added", "removed")
+    assert Counter(map(tuple, got.collect())) == want
