@@ -17,7 +17,7 @@ _DOC = "text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '<!-- claim: exists(p1) -
 
 @query("discover_documents", f"SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, {_DOC} AS t FROM documents WHERE doc_id % 3 < 2) q WHERE contains(t, '<!-- claim:')")
 def _(f: Facts) -> DataFrame:
-    found = f.documents.where("doc_id % 3 < 2").selectExpr("doc_id", f"{_DOC} AS t")
+    found = f.documents.selectExpr("doc_id", f"{_DOC} AS t")
     return found.where(F.col("t").contains("<!-- claim:")).select("doc_id", F.length("t").cast("long").alias("chars"))
 
 

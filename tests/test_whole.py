@@ -80,3 +80,19 @@ def test_every_diff_is_parsed(spark, tables):
         want.update([(n, 1, f"{kind}.ts", 1, 2, 1), (n, 1, f"{kind}.ts", 2, 0, 1)] + [(n, 2, "y.ts", 1, n % 5, 0)] * (n % 5 > 0))
     got = QUERIES["parse_diff"](spark, tables).select("doc", "file_no", "path", "hunk", "added", "removed")
     assert Counter(map(tuple, got.collect())) == want
+
+
+def test_every_place_name_path_and_document_is_asked_for(spark, tables):
+    f = facts(spark, tables)
+    assert QUERIES["lookup_by_offset"](spark, tables).count() == MANY
+    assert QUERIES["collision_spots"](spark, tables).count() == f.symbol.where("collisions > 0").count() == MANY
+    assert QUERIES["specifier_spots"](spark, tables).agg(F.sum("sites")).head()[0] == f.unresolved_specifier.count()
+    marked = {r["doc_id"] for r in QUERIES["discover_documents"](spark, tables).collect()}
+    assert marked >= {r["doc_id"] for r in f.documents.collect() if r["doc_id"] % 4 == 0}
+
+
+def test_reaching_is_asked_of_every_part(spark, tables):
+    out = hops(facts(spark, tables).sparse_edge.collect())
+    want = {(f"p{k}", f"p{k % 37}", f"p{k % 37}" in reached(out, f"p{k}")) for k in range(MANY)}
+    got = QUERIES["claim_reaches"](spark, tables).select("a", "b", "holds").collect()
+    assert len(got) == MANY and set(map(tuple, got)) == want
