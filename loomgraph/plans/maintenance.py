@@ -107,7 +107,7 @@ def _wave_sql(most: int) -> str:
 
 @query("wave_frontier", _wave_sql(8))
 def _(f: Facts) -> DataFrame:
-    imports = f.file_import.where("n > 1 AND to_path IS NOT NULL").select("from_path", "to_path")
+    imports = f.file_import.where("to_path IS NOT NULL").select("from_path", "to_path")
     moved = f.file.where("file_no % 3 <> 0").select("path")
     return maintain.wave(imports, f.file.where("file_no % 40 = 3"), lambda pending: pending.join(moved, "path", "left_semi")).orderBy("wave", "path")
 

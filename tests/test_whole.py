@@ -96,3 +96,19 @@ def test_reaching_is_asked_of_every_part(spark, tables):
     want = {(f"p{k}", f"p{k % 37}", f"p{k % 37}" in reached(out, f"p{k}")) for k in range(MANY)}
     got = QUERIES["claim_reaches"](spark, tables).select("a", "b", "holds").collect()
     assert len(got) == MANY and set(map(tuple, got)) == want
+
+
+def test_imports_come_from_all_sites(spark, tables):
+    f = facts(spark, tables)
+    sites = f.site.where("g IS NOT NULL").count()
+    assert f.file_import.agg(F.sum("n")).head()[0] == sites > f.site.where("g IS NOT NULL AND l_quantity >= 40").count()
+
+
+def test_waves_follow_single_imports(spark, tables, tmp_path):
+    for name in ("nation", "supplier"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    line = spark.read.parquet(f"{tables}/lineitem.parquet").limit(1)
+    two = [line.withColumns({"l_orderkey": F.lit(1), "l_linenumber": F.lit(k), "l_suppkey": F.lit(s), "l_quantity": F.lit(1.0), "l_discount": F.lit(0.05)}) for k, s in ((1, 1), (2, 43))]
+    two[0].union(two[1]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    waves = {r["path"].split("/")[-1]: r["wave"] for r in QUERIES["wave_frontier"](spark, str(tmp_path)).collect()}
+    assert waves == {"s3.ts": 0, "s43.ts": 0, "s1.ts": 1}
