@@ -6,7 +6,9 @@ A hit votes for its template on the diagonal ``word - place in template``. On
 one diagonal, votes for every run of a phrase are the phrase itself. A notice
 with words put in or left out has its votes on neighbouring diagonals, which
 merge where they are ``SLACK`` apart at most; a merged span holds if it covers
-the part ``NEED`` of the template's runs within a length of 1.5 templates.
+the part ``NEED`` of the template's runs within a length of 1.5 templates. Where
+a merged span is longer, as several copies in a row are, it is cut before each
+run that is not beyond the last one in the template, and the parts are judged.
 
 The templates are a constant of this module (some hundred runs), so their side
 of the join is broadcast whatever the corpus; each text is scanned once, and
@@ -96,18 +98,42 @@ def _votes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def _parts(votes: Column, runs: Column) -> Column:
+    """Parts (diagonal, first, end, covered) of a merged span, cut where places stop rising or diagonals jump."""
+    hits = F.array_sort(F.flatten(F.transform(votes, lambda v: F.transform(v["places"], lambda p: F.struct((v["diagonal"] + p).alias("word"), p.alias("place"))))))
+    off = lambda h: h["word"] - h["place"]
+
+    def cut(h: Column, i: Column) -> Column:
+        before = F.get(hits, i - 1)
+        return F.when((i == 0) | (h["place"] <= before["place"]) | (F.abs(off(h) - off(before)) > SLACK), i)
+
+    starts = F.filter(F.transform(hits, cut), lambda i: i.isNotNull())
+
+    def part(start: Column, k: Column) -> Column:
+        inside = F.slice(hits, start + 1, F.coalesce(F.get(starts, k + 1), F.size(hits)) - start)
+        return F.struct(F.array_min(F.transform(inside, off)).alias("diagonal"), inside[0]["word"].alias("first"), (F.element_at(inside, -1)["word"] + K).alias("end"), (F.size(inside) / runs).alias("covered"))
+
+    return F.transform(starts, part)
+
+
 def _spans(votes: DataFrame) -> DataFrame:
     """Merged diagonals with what they cover; the row with the number of words stays."""
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= SLACK, 0).otherwise(1)
     merged = votes.withColumn("apart", F.when(F.col("base"), 1).otherwise(apart)).withColumn("span", F.sum("apart").over(along))
-    return merged.groupBy("row", "doc_id", "template", "span").agg(
+    spans = merged.groupBy("row", "doc_id", "template", "span").agg(
         F.min("diagonal").alias("diagonal"),
         F.min("first").alias("first"),
         (F.max("last") + K).alias("end"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("runs")).alias("covered"),
-        *[F.first(c).alias(c) for c in ("n_words", "template_words", "need", "label", "base")],
-    ).withColumn("holds", F.col("template").isNotNull() & (F.col("covered") >= F.col("need")) & (F.col("end") - F.col("first") <= 1.5 * F.col("template_words") + SLACK))
+        F.collect_list(F.struct("diagonal", "places")).alias("votes"),
+        *[F.first(c).alias(c) for c in ("n_words", "runs", "template_words", "need", "label", "base")],
+    )
+    spans = spans.withColumn("covered", F.size(F.array_distinct(F.flatten("votes.places"))) / F.col("runs"))
+    fits = F.col("end") - F.col("first") <= 1.5 * F.col("template_words") + SLACK
+    whole = F.array(F.struct("diagonal", "first", "end", "covered"))
+    cut = spans.withColumn("part", F.explode(F.when((F.col("covered") >= F.col("need")) & ~fits, _parts(F.col("votes"), F.col("runs"))).otherwise(whole)))
+    parts = cut.select("row", "doc_id", "template", "part.*", "n_words", "template_words", "need", "label", "base")
+    return parts.withColumn("holds", F.col("template").isNotNull() & (F.col("covered") >= F.col("need")) & fits)
 
 
 def license_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
