@@ -24,8 +24,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (similarity 0.8)."""
-    return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates (similarity 0.8).
+
+    Where ids repeat or are null, rows of one id and text are one document; a further text of an id, or one
+    without an id, is a document by itself, which gives way to those that have their id.
+    """
+    counts = docs.groupBy("doc_id").count()
+    if counts.where("count > 1 OR doc_id IS NULL").isEmpty():
+        return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
+    again = counts.where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    heads = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("head"))
+    own = F.col("doc_id").isNotNull() & (F.col("head").isNull() | (F.xxhash64("text") == F.col("head")))
+    other = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.join(heads, "doc_id", "left").withColumn("key", F.when(own, F.col("doc_id")).otherwise(other)).drop("head").dropDuplicates(["key"])
+    at = scratch(spark, "keyed")
+    keyed.write.parquet(at)
+    return minhash.near_duplicates(spark.read.parquet(at), doc_id="key").where("kept").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
