@@ -33,6 +33,8 @@ from pyspark.sql.window import Window
 
 SLICES = 64
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+#: WARC 1.0 and 1.1 name the profile with URIs that end alike.
+NOT_MODIFIED_END = "/revisit/server-not-modified"
 #: Headers that a 304 answer must not change.
 FIXED_HEADERS = (
     "content-length", "content-type", "content-encoding", "content-range", "connection", "keep-alive", "proxy-authenticate", "proxy-authentication-info",
@@ -81,7 +83,7 @@ def resolve(records: DataFrame, *, slices: int = SLICES) -> DataFrame:
     """
     keyed = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url_key"), (F.col("kind") == "response").alias("full"), F.unix_micros("date").alias("at"), _lower_keys(F.col("headers")).alias("headers"), "profile", "payload")
     full = F.col("full")
-    usable = keyed.where(full | F.coalesce(F.col("profile") == NOT_MODIFIED, F.lit(True)))
+    usable = keyed.where(full | F.coalesce(F.col("profile").endswith(NOT_MODIFIED_END), F.lit(True)))
     slim = usable.select("record_id", "url_key", "full", "at")
     known = slim.where("url_key IS NOT NULL AND at IS NOT NULL")
     ends = known.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # one row, broadcast by its nature

@@ -82,3 +82,19 @@ def test_files_are_read(spark, tmp_path):
     assert records.count() == 4 and records.select("record_id").distinct().count() == 4
     got = warc.resolve(records).collect()
     assert [(r["status"], bytes(r["payload"])) for r in got] == [("resolved", b"first\r\n\r\nbody")] * 2
+
+
+def test_profile_of_warc_1_0_counts(spark, tmp_path):
+    def record(kind, date, http, body, profile=""):
+        block = http.encode() + b"\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://a.example/\r\nWARC-Date: {date}\r\n{profile}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    named = "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/"
+    early = record("revisit", "2023-12-31T00:00:00Z", "HTTP/1.1 304 Not Modified", b"", f"{named}server-not-modified\r\n")
+    one = record("response", "2024-01-01T00:00:00Z", 'HTTP/1.1 200 OK\r\nETag: "1"', b"body")
+    two = record("revisit", "2024-01-02T00:00:00Z", 'HTTP/1.1 304 Not Modified\r\nETag: "1"', b"", f"{named}server-not-modified\r\n")
+    other = record("revisit", "2024-01-03T00:00:00Z", 'HTTP/1.1 200 OK\r\nETag: "1"', b"", f"{named}identical-payload-digest\r\n")
+    (tmp_path / "x.warc").write_bytes(early + one + two + other)
+    got = warc.resolve(warc.read(spark, str(tmp_path))).collect()
+    assert sorted((r["status"], r["payload"] and bytes(r["payload"])) for r in got) == [("orphan", None), ("resolved", b"body")]
