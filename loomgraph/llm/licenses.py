@@ -10,14 +10,18 @@ the part ``NEED`` of the template's runs within a length of 1.5 templates. Where
 a merged span is longer, as several copies in a row are, it is cut before each
 run that is not beyond the last one in the template, and the parts are judged.
 
-The templates are a constant of this module (some hundred runs), so their side
-of the join is broadcast whatever the corpus; each text is scanned once, and
-only hits and one row per document are shuffled.
+Templates are a table (``templates``); the public texts of ``license_texts`` are
+used where none is given. Their side of the join is broadcast as long as they
+have ``BROADCAST_RUNS`` runs at most, which is counted, and is joined by a
+shuffle of the runs' hashes beyond it. Each text is scanned once; only hits and
+one row per document are shuffled, and all windows over hits lie within one
+document, whose hits are one shuffle apart.
 
 Edge cases: a null text has no words; each input row gives one result row, also
 where rows repeat or ids are null; a text shorter than ``K`` words has no hits;
 an empty table gives an empty one; only the id and text columns are read, so
-others cannot clash.
+others cannot clash; templates with a null or a text of under ``K`` words are
+left out.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.llm.license_texts import TEXTS
+
 #: Words of a run.
 K = 3
 #: Diagonals that merge are this far apart at most.
@@ -37,116 +43,112 @@ SHORT = 7
 #: Phrases whose every exact place is counted.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-NOTICES = [
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit"),
-    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("gnu general public license", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl-2"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
-    ("cc by sa", "cc-by-sa"),
-    ("cc by nd", "cc-by-nd"),
-    ("boost software license version 1 0", "bsl-1"),
-    ("eclipse public license", "epl"),
-    ("all rights reserved", "all-rights-reserved"),
-]
+#: (words, label) of the public texts.
+NOTICES = [(words, label) for label, _, words in TEXTS]
+
+#: Runs of templates that are broadcast at most (some 100 bytes each).
+BROADCAST_RUNS = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def template_rows() -> list[tuple[int, int, str, int, int, float, str, bool]]:
-    """(template, place, run, runs, words, need, label, base) of every run of every template."""
-    rows = []
-    for number, (phrase, label) in enumerate(BASE + NOTICES):
-        words = phrase.split(" ")
-        runs = len(words) - K + 1
-        for place in range(runs):
-            rows.append((number, place, " ".join(words[place : place + K]), runs, len(words), 1.0 if len(words) <= SHORT else NEED, label, number < len(BASE)))
-    return rows
+_OF_TEMPLATE = ("runs", "template_words", "need", "label", "version", "base")
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    values = ", ".join(f"({n}, {p}, '{r}', {k}, {w}, {d}D, '{label}', {str(b).lower()})" for n, p, r, k, w, d, label, b in template_rows())
-    return spark.sql(f"SELECT *, xxhash64(run) AS hash FROM VALUES {values} AS t(template, place, run, runs, template_words, need, label, base)")
+def known_templates() -> list[tuple[str, str, str, bool]]:
+    """(label, version, text, base) of the phrases that are counted and of the public texts."""
+    return [(label, "", phrase, True) for phrase, label in BASE] + [(label, version, words, False) for label, version, words in TEXTS]
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS, -1), lambda w: w != "")
+def templates(spark: SparkSession) -> DataFrame:
+    """The table (label, version, text, base) of templates that is used where none is given."""
+    rows = ", ".join(f"('{label}', '{version}', '{words}', {str(base).lower()})" for label, version, words, base in known_templates())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(label, version, text, base)")
 
 
-def _votes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per (row, template, diagonal), and one per row that has the number of its words."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), words_of(F.col(f"`{text}`")).alias("w"))
+def template_runs(table: DataFrame) -> DataFrame:
+    """(template, place, template_run, hash, runs, template_words, need, label, base) of every run of every template."""
+    split = table.where("text IS NOT NULL AND label IS NOT NULL").select("label", "version", F.coalesce("base", F.lit(False)).alias("base"), words_of(F.col("text")).alias("w"))
     n = F.size("w")
-    runs = F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(K)])))
-    head = F.array(F.lit(None).cast("string"))  # the row that carries the number of words
-    each = words.select("row", "doc_id", n.cast("long").alias("n_words"), F.posexplode(F.concat(head, F.coalesce(runs, F.array().cast("array<string>")))).alias("at", "run"))
-    each = each.withColumn("hash", F.xxhash64("run"))
-    known = templates(docs.sparkSession).withColumnRenamed("run", "template_run")
-    hits = each.join(F.broadcast(known), (each["hash"] == known["hash"]) & (each["run"] == known["template_run"]), "left").where("template IS NOT NULL OR at = 0")
-    hits = hits.select("row", "doc_id", "n_words", "template", "place", (F.col("at") - 1).cast("long").alias("word"), "runs", "template_words", "need", "label", "base").repartition("row")
-    return hits.groupBy("row", "doc_id", "template", (F.col("word") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"), *[F.first(c).alias(c) for c in ("n_words", "runs", "template_words", "need", "label", "base")]
+    numbered = split.where(n >= K).select(
+        F.xxhash64("label", "version", "base", F.array_join("w", " ")).alias("template"),
+        "w",
+        (n - K + 1).alias("runs"),
+        n.alias("template_words"),
+        F.when(n <= SHORT, F.lit(1.0)).otherwise(F.lit(NEED)).alias("need"),
+        "label",
+        "version",
+        "base",
     )
+    each = numbered.select("template", *_OF_TEMPLATE, F.posexplode(runs_of(F.col("w"))).alias("place", "template_run"))
+    return each.withColumn("hash", F.xxhash64("template_run"))
 
 
-def _parts(votes: Column, runs: Column) -> Column:
-    """Parts (diagonal, first, end, covered) of a merged span, cut where places stop rising or diagonals jump."""
-    hits = F.array_sort(F.flatten(F.transform(votes, lambda v: F.transform(v["places"], lambda p: F.struct((v["diagonal"] + p).alias("word"), p.alias("place"))))))
-    off = lambda h: h["word"] - h["place"]
+def words_of(text: Column) -> Column:
+    """Words of a text, A-Z lower-cased."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS, -1), lambda w: w != "")
 
-    def cut(h: Column, i: Column) -> Column:
-        before = F.get(hits, i - 1)
-        return F.when((i == 0) | (h["place"] <= before["place"]) | (F.abs(off(h) - off(before)) > SLACK), i)
 
-    starts = F.filter(F.transform(hits, cut), lambda i: i.isNotNull())
+def runs_of(words: Column) -> Column:
+    """Every run of ``K`` words, joined by a space; none where there are fewer."""
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(K)]))
+    return F.coalesce(F.when(n >= K, runs), F.array().cast("array<string>"))
 
-    def part(start: Column, k: Column) -> Column:
-        inside = F.slice(hits, start + 1, F.coalesce(F.get(starts, k + 1), F.size(hits)) - start)
-        return F.struct(F.array_min(F.transform(inside, off)).alias("diagonal"), inside[0]["word"].alias("first"), (F.element_at(inside, -1)["word"] + K).alias("end"), (F.size(inside) / runs).alias("covered"))
 
-    return F.transform(starts, part)
+def _hits(docs: DataFrame, doc_id: str, text: str, table: DataFrame | None) -> DataFrame:
+    """One row per (row, template, place, word), and one per row that has the number of its words."""
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), words_of(F.col(f"`{text}`")).alias("w"))
+    head = F.array(F.lit(None).cast("string"))  # the row that carries the number of words
+    each = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(head, runs_of(F.col("w")))).alias("at", "run"))
+    each = each.withColumn("hash", F.xxhash64("run"))
+    known = template_runs(templates(docs.sparkSession) if table is None else table.dropDuplicates(["label", "version", "text", "base"]))
+    if table is None or known.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        known = F.broadcast(known)
+    hits = each.join(known, (each["hash"] == known["hash"]) & (each["run"] == known["template_run"]), "left").where("template IS NOT NULL OR at = 0")
+    word = (F.col("at") - 1).cast("long")
+    return hits.select("row", "doc_id", "n_words", "template", "place", word.alias("word"), (word - F.col("place")).alias("diagonal"), *_OF_TEMPLATE).repartition("row")
 
 
-def _spans(votes: DataFrame) -> DataFrame:
+def _spans(hits: DataFrame) -> DataFrame:
     """Merged diagonals with what they cover; the row with the number of words stays."""
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= SLACK, 0).otherwise(1)
-    merged = votes.withColumn("apart", F.when(F.col("base"), 1).otherwise(apart)).withColumn("span", F.sum("apart").over(along))
-    spans = merged.groupBy("row", "doc_id", "template", "span").agg(
+    diagonal, place = F.col("diagonal"), F.col("place")
+    of = ("row", "template", "span")
+    along = Window.partitionBy("row", "template").orderBy("diagonal", "word")
+    step = diagonal - F.lag("diagonal").over(along)
+    merged = hits.withColumn("apart", F.when(step <= F.when(F.col("base"), 0).otherwise(SLACK), 0).otherwise(1)).withColumn("span", F.sum("apart").over(along))
+    whole = Window.partitionBy(*of)
+    length = F.max("word").over(whole) + K - F.min("word").over(whole)
+    longest = 1.5 * F.col("template_words") + SLACK
+    covered = F.size(F.collect_set("place").over(whole)) / F.col("runs")
+    judged = merged.withColumn("cuts", (covered >= F.col("need")) & (length > longest))
+    reading = Window.partitionBy(*of).orderBy("word", "place")
+    back = (place <= F.lag("place").over(reading)) | (F.abs(diagonal - F.lag("diagonal").over(reading)) > SLACK)
+    cut = judged.withColumn("cut", F.when(F.col("cuts") & back, 1).otherwise(0)).withColumn("part", F.sum("cut").over(reading))
+    parts = cut.groupBy("row", "doc_id", "template", "span", "part").agg(
         F.min("diagonal").alias("diagonal"),
-        F.min("first").alias("first"),
-        (F.max("last") + K).alias("end"),
-        F.collect_list(F.struct("diagonal", "places")).alias("votes"),
-        *[F.first(c).alias(c) for c in ("n_words", "runs", "template_words", "need", "label", "base")],
+        F.min("word").alias("first"),
+        (F.max("word") + K).alias("end"),
+        F.size(F.collect_set("place")).alias("places"),
+        *[F.first(c).alias(c) for c in ("n_words", *_OF_TEMPLATE)],
     )
-    spans = spans.withColumn("covered", F.size(F.array_distinct(F.flatten("votes.places"))) / F.col("runs"))
-    fits = F.col("end") - F.col("first") <= 1.5 * F.col("template_words") + SLACK
-    whole = F.array(F.struct("diagonal", "first", "end", "covered"))
-    cut = spans.withColumn("part", F.explode(F.when((F.col("covered") >= F.col("need")) & ~fits, _parts(F.col("votes"), F.col("runs"))).otherwise(whole)))
-    parts = cut.select("row", "doc_id", "template", "part.*", "n_words", "template_words", "need", "label", "base")
+    parts = parts.withColumn("covered", F.col("places") / F.col("runs"))
+    fits = F.col("end") - F.col("first") <= longest
     return parts.withColumn("holds", F.col("template").isNotNull() & (F.col("covered") >= F.col("need")) & fits)
 
 
-def license_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, label, first, end, covered, base) of every verified span; words count from 0, ``end`` is excluded."""
-    return _spans(_votes(docs, doc_id, text)).where("holds").select("doc_id", "label", "first", "end", "covered", "base")
+def license_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: DataFrame | None = None) -> DataFrame:
+    """(doc_id, label, version, first, end, covered, base) of every verified span; words count from 0, ``end`` is excluded."""
+    return _spans(_hits(docs, doc_id, text, templates)).where("holds").select("doc_id", "label", "version", "first", "end", "covered", "base")
 
 
-def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: DataFrame | None = None) -> DataFrame:
     """Per row: ``n_words``, places of base phrases (``n_base``, ``first_word``, ``last_word``), labels and a score.
 
     The score is the largest part of a template that a verified span covers, 0 without any.
     """
-    spans = _spans(_votes(docs, doc_id, text))
+    spans = _spans(_hits(docs, doc_id, text, templates))
     base, holds = F.col("holds") & F.col("base"), F.col("holds")
     listed = lambda of: F.array_join(F.array_sort(F.collect_set(F.when(of, F.col("label")))), ",")
     return spans.groupBy("row", "doc_id").agg(

@@ -117,21 +117,25 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    rows = ", ".join(f"({n}, {p}, '{r}', {k}, {w}, CAST({d} AS DOUBLE), '{label}', {str(b).lower()})" for n, p, r, k, w, d, label, b in licenses.template_rows())
+    rows = ", ".join(f"('{words}', '{label}', {str(base).lower()})" for label, _, words, base in licenses.known_templates())
     k, slack = licenses.K, licenses.SLACK
     return rf"""
-WITH t(template, place, run, runs, template_words, need, label, base) AS (VALUES {rows}),
+WITH given(phrase, label, base) AS (SELECT DISTINCT * FROM (VALUES {rows})),
+known AS (SELECT row_number() OVER () AS template, label, base, string_split(phrase, ' ') AS ps FROM given),
+t AS (SELECT template, label, base, i - 1 AS place, array_to_string(ps[i:i + {k - 1}], ' ') AS run, len(ps) - {k - 1} AS runs, len(ps) AS template_words,
+  CASE WHEN len(ps) <= {licenses.SHORT} THEN 1.0 ELSE {licenses.NEED} END AS need FROM (SELECT *, unnest(range(1, len(ps) - {k - 2})) AS i FROM known)),
 w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents),
 g AS (SELECT doc_id, i - 1 AS word, array_to_string(ws[i:i + {k - 1}], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})),
-votes AS (SELECT doc_id, template, word - place AS diagonal, list(DISTINCT place) AS places, min(word) AS first, max(word) AS last,
-  any_value(runs) AS runs, any_value(template_words) AS template_words, any_value(need) AS need, any_value(label) AS label, any_value(base) AS base
-  FROM g JOIN t USING (run) GROUP BY 1, 2, 3),
-apart AS (SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER along <= {slack} THEN 0 ELSE 1 END AS apart FROM votes WINDOW along AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
-spans AS (SELECT doc_id, template, span, min(diagonal) AS diagonal, min(first) AS first, max(last) + {k} AS end_word,
-  len(list_distinct(flatten(list(places)))) / any_value(runs) AS covered, any_value(template_words) AS template_words, any_value(need) AS need, any_value(label) AS label, any_value(base) AS base
-  FROM numbered GROUP BY 1, 2, 3),
-held AS (SELECT * FROM spans WHERE covered >= need AND end_word - first <= 1.5 * template_words + {slack}),
+hits AS (SELECT doc_id, word, word - place AS diagonal, t.* EXCLUDE (run) FROM g JOIN t USING (run)),
+apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, word) <= CASE WHEN base THEN 0 ELSE {slack} END THEN 0 ELSE 1 END AS apart FROM hits),
+merged AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal, word) AS span FROM apart),
+whole AS (SELECT doc_id, template, span, count(DISTINCT place) / any_value(runs) >= any_value(need) AND max(word) + {k} - min(word) > 1.5 * any_value(template_words) + {slack} AS cuts FROM merged GROUP BY 1, 2, 3),
+marked AS (SELECT merged.*, CASE WHEN cuts AND (place <= lag(place) OVER reading OR abs(diagonal - lag(diagonal) OVER reading) > {slack}) THEN 1 ELSE 0 END AS cut
+  FROM merged JOIN whole USING (doc_id, template, span) WINDOW reading AS (PARTITION BY doc_id, template, span ORDER BY word, place)),
+numbered AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, template, span ORDER BY word, place) AS part FROM marked),
+parts AS (SELECT doc_id, template, span, part, min(diagonal) AS diagonal, min(word) AS first, max(word) + {k} AS end_word, count(DISTINCT place) / any_value(runs) AS covered,
+  any_value(template_words) AS template_words, any_value(need) AS need, any_value(label) AS label, any_value(base) AS base FROM numbered GROUP BY 1, 2, 3, 4),
+held AS (SELECT * FROM parts WHERE covered >= need AND end_word - first <= 1.5 * template_words + {slack}),
 found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score
   FROM held GROUP BY doc_id)

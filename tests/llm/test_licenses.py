@@ -54,3 +54,29 @@ def test_edges(edge_docs, no_docs):
     want = sorted((repr(r["doc_id"]), brute(r["text"])[0]) for r in edge_docs.collect())
     assert sorted((repr(r["doc_id"]), r["n_words"]) for r in rows) == want
     assert scan(no_docs) == []
+
+
+def test_whole_texts_with_edits_and_punctuation(spark):
+    """Each public text with a holder put in, a word in 25 changed and marks between words, in a longer text."""
+    rnd, rows, want = random.Random(8), [], []
+    for words, label in licenses.NOTICES:
+        ws = words.split()
+        if len(ws) < 40:
+            continue
+        for i in range(12, len(ws), 25):
+            ws[i] = "qq"
+        ws[20:20] = ["Example", "Holder"]
+        marked = [w.title() + rnd.choice([",", ".", "\n", " -", ""]) for w in ws]
+        rows.append((len(rows), "Before it. " * 30 + " ".join(marked) + " and after"))
+        want.append(label)
+    got = {r["doc_id"]: r["labels"].split(",") for r in scan(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert len(rows) > 10
+    assert all(label in got[i] for i, label in enumerate(want))
+
+
+def test_given_templates(spark):
+    table = spark.createDataFrame([("own", "1", "You may use this, but never on a Monday.", False), ("none", "", None, False), ("short", "", "a b", True)], "label string, version string, text string, base boolean")
+    rows = [(0, "x you may use this but never on a monday y"), (1, "under the mit license"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs, templates=table).collect()}
+    assert got == {0: "own", 1: "", 2: ""}
