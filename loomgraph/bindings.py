@@ -2,8 +2,12 @@
 
 Each binding is one SQL query that Spark and other engines read alike, so that
 queries over it can be held against an independent engine. ``facts`` gives them
-as lazy DataFrames; the same operators take facts loaded from files instead
+as DataFrames; the same operators take facts loaded from files instead
 (``loomgraph.facts``).
+
+Relations in ``BUILT`` take joins and shuffles of the largest tables. They are
+derived once per session and state of the tables, written to the shared folder,
+and read from there by every query, as an index is.
 """
 
 from __future__ import annotations
@@ -12,12 +16,17 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.session import scratch
+
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
 KINDS = ("function", "class", "interface", "typeAlias", "enum", "variable", "method", "namespace")
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 _KIND = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
 
+#: Relations that are written once and read again.
+BUILT = ("file", "symbol", "call_edge", "reference_edge", "file_import")
+
 #: Later relations may use earlier ones.
 BINDINGS: dict[str, str] = {
     "project": "SELECT 'r' || CAST(n_regionkey AS STRING) || '/n' || CAST(n_nationkey AS STRING) || '/tsconfig.json' AS config_path, 'r' || CAST(n_regionkey AS STRING) || '/n' || CAST(n_nationkey AS STRING) AS dir, CASE WHEN n_nationkey % 4 = 1 THEN 'syntactic' ELSE 'typed' END AS fidelity, CASE WHEN n_nationkey % 8 = 1 THEN 'unprepared' WHEN n_nationkey % 8 = 5 THEN 'missing-generated' END AS cause, md5(n_name) AS fingerprint, n_nationkey % 3 = 0 AS postinstall, n_nationkey AS n_key FROM nation",
@@ -28,7 +37,7 @@ BINDINGS: dict[str, str] = {
     "call_edge": "SELECT 'p' || CAST(a AS STRING) AS from_id, 'p' || CAST(b AS STRING) AS to_id, CASE WHEN l_linestatus = 'F' THEN 'symbol' ELSE 'variable' END AS attribution, path, CAST(l_linenumber AS INT) AS line, CASE l_returnflag WHEN 'A' THEN 'deterministic' WHEN 'N' THEN 'syntactic' ELSE 'inferred' END AS provenance, CASE WHEN l_discount > 0.05 THEN 'checker' ELSE 'alias' END AS derivation, l_quantity AS quantity, a AS from_no, b AS to_no FROM site JOIN file ON file_no = f WHERE b IS NOT NULL",
     "sparse_edge": "SELECT DISTINCT from_id, to_id FROM call_edge WHERE quantity >= 45",
     "reference_edge": "SELECT 'p' || CAST(o_custkey % n_part AS STRING) AS from_id, 'p' || CAST(o_orderkey % n_part AS STRING) AS to_id, CASE o_orderkey % 4 WHEN 0 THEN 'references' WHEN 1 THEN 'extends' WHEN 2 THEN 'implements' ELSE 'typeReferences' END AS kind, path, CAST(o_orderkey % 100 AS INT) AS line, CASE WHEN o_orderkey % 3 = 0 THEN 'syntactic' ELSE 'deterministic' END AS provenance, 'heritage-clause' AS derivation FROM orders CROSS JOIN (SELECT count(*) AS n_sup FROM supplier) AS c CROSS JOIN (SELECT count(*) AS n_part FROM part) AS d JOIN file ON file_no = o_orderkey % n_sup",
-    "file_import": "SELECT x.path AS from_path, './s' || CAST(g AS STRING) AS specifier, max(CASE WHEN l_discount = 0 THEN NULL ELSE y.path END) AS to_path, count(*) AS n FROM site JOIN file x ON x.file_no = f JOIN file y ON y.file_no = g WHERE l_quantity >= 40 GROUP BY x.path, g",
+    "file_import": "SELECT x.path AS from_path, './s' || CAST(g AS STRING) AS specifier, max(CASE WHEN l_discount = 0 THEN NULL ELSE y.path END) AS to_path, count(*) AS n FROM site JOIN file x ON x.file_no = f JOIN file y ON y.file_no = g GROUP BY x.path, g",
     "file_project": "SELECT path, project, TRUE AS canonical, n_key FROM file UNION ALL SELECT path, config_path, FALSE, file.n_key FROM file JOIN project ON project.n_key = (file.n_key + 1) % 25 WHERE file_no % 3 = 0",
     "label": " UNION ALL ".join(
         f"SELECT path AS node, '{axis}' AS axis, '{value}' AS value, '{prov}' AS provenance, '{deriv}' AS derivation FROM file WHERE {where}"
@@ -44,16 +53,9 @@ BINDINGS: dict[str, str] = {
     "churn": f"SELECT event_id, event_type || '/' || CAST({_K} AS STRING) || '.ts' AS path, user_id AS author, CAST(ts AS DATE) AS day, ts, CAST(event_id % 50 AS BIGINT) AS added, CAST(event_id % 20 AS BIGINT) AS deleted, {_K} AS k FROM events",
     "frame": "SELECT day, path, max(added) AS calls_in, max(deleted) AS calls_out, count(*) AS unresolved FROM churn GROUP BY day, path",
     "run": "SELECT l_orderkey AS run_id, l_suppkey AS case_id, l_returnflag AS arm, CAST(l_linenumber AS INT) AS replicate, l_quantity AS tokens, l_extendedprice AS cost, l_tax AS share, l_discount > 0.08 AS invalid, CASE WHEN l_discount > 0.09 THEN 'no-diff' WHEN l_discount > 0.08 THEN 'timed-out' END AS reason, CASE l_suppkey % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' END AS level, CASE WHEN l_tax < 0.03 THEN 'incorrect' WHEN l_tax < 0.06 THEN 'partial' ELSE 'correct' END AS grade, CASE WHEN l_linestatus = 'F' THEN l_returnflag = 'A' END AS took_up, 'j' || CAST(l_partkey % 50 AS STRING) AS judgement, l_partkey FROM lineitem",
-    "claim": "SELECT p_partkey AS claim_no, 'doc' || CAST(p_partkey % 17 AS STRING) AS doc, CAST(p_partkey % 5 AS INT) AS section, CASE p_partkey % 16 WHEN 0 THEN 'exists(p' || k || ')' WHEN 1 THEN '!exists(gone' || k || ')' WHEN 2 THEN 'calls(p' || k || ', p' || t || ')' WHEN 3 THEN '!calls(p' || k || ', p' || t || ')' WHEN 4 THEN 'calls(p' || k || ', p' || CAST(p_partkey + 1 AS STRING) || ')' WHEN 5 THEN '! calls(p' || k || ', p' || CAST(p_partkey + 1 AS STRING) || ')' WHEN 6 THEN 'extends(p' || k || ', p' || t || ')' WHEN 7 THEN 'imports(p' || k || ', p' || t || ')' WHEN 8 THEN 'hasLabel(p' || k || ', role, test)' WHEN 9 THEN 'onlyCalledBy(p' || k || ', r1/)' WHEN 10 THEN 'callers(p' || k || ') == ' || CAST(p_partkey % 30 AS STRING) WHEN 11 THEN 'callers(p' || k || ') == ' || c WHEN 12 THEN 'usesType(p' || k || ', gone1)' WHEN 13 THEN CASE WHEN p_partkey % 3 = 0 THEN 'exports(p' || k || ')' WHEN p_partkey % 3 = 1 THEN 'likes(p' || k || ')' ELSE 'not a claim' END WHEN 14 THEN CASE WHEN p_partkey % 3 = 0 THEN 'calls(p' || k || ')' WHEN p_partkey % 3 = 1 THEN 'callers(p' || k || ') == many' ELSE 'hasLabel(p' || k || ', colour, red)' END ELSE 'exists(gone' || k || ')' END AS text FROM (SELECT p_partkey, CAST(p_partkey AS STRING) AS k, CAST(coalesce(to_no, 0) AS STRING) AS t, CAST(coalesce(n_from, 0) AS STRING) AS c FROM part LEFT JOIN (SELECT from_no AS key_a, min(to_no) AS to_no FROM call_edge GROUP BY from_no) u ON key_a = p_partkey LEFT JOIN (SELECT to_no AS key_b, count(DISTINCT from_id) AS n_from FROM call_edge GROUP BY to_no) v ON key_b = p_partkey WHERE p_partkey < 1600) z",
+    "claim": "SELECT p_partkey AS claim_no, 'doc' || CAST(p_partkey % 17 AS STRING) AS doc, CAST(p_partkey % 5 AS INT) AS section, CASE p_partkey % 16 WHEN 0 THEN 'exists(p' || k || ')' WHEN 1 THEN '!exists(gone' || k || ')' WHEN 2 THEN 'calls(p' || k || ', p' || t || ')' WHEN 3 THEN '!calls(p' || k || ', p' || t || ')' WHEN 4 THEN 'calls(p' || k || ', p' || CAST(p_partkey + 1 AS STRING) || ')' WHEN 5 THEN '! calls(p' || k || ', p' || CAST(p_partkey + 1 AS STRING) || ')' WHEN 6 THEN 'extends(p' || k || ', p' || t || ')' WHEN 7 THEN 'imports(p' || k || ', p' || t || ')' WHEN 8 THEN 'hasLabel(p' || k || ', role, test)' WHEN 9 THEN 'onlyCalledBy(p' || k || ', r1/)' WHEN 10 THEN 'callers(p' || k || ') == ' || CAST(p_partkey % 30 AS STRING) WHEN 11 THEN 'callers(p' || k || ') == ' || c WHEN 12 THEN 'usesType(p' || k || ', gone1)' WHEN 13 THEN CASE WHEN p_partkey % 3 = 0 THEN 'exports(p' || k || ')' WHEN p_partkey % 3 = 1 THEN 'likes(p' || k || ')' ELSE 'not a claim' END WHEN 14 THEN CASE WHEN p_partkey % 3 = 0 THEN 'calls(p' || k || ')' WHEN p_partkey % 3 = 1 THEN 'callers(p' || k || ') == many' ELSE 'hasLabel(p' || k || ', colour, red)' END ELSE 'exists(gone' || k || ')' END AS text FROM (SELECT p_partkey, CAST(p_partkey AS STRING) AS k, CAST(coalesce(to_no, 0) AS STRING) AS t, CAST(coalesce(n_from, 0) AS STRING) AS c FROM part LEFT JOIN (SELECT from_no AS key_a, min(to_no) AS to_no FROM call_edge GROUP BY from_no) u ON key_a = p_partkey LEFT JOIN (SELECT to_no AS key_b, count(DISTINCT from_id) AS n_from FROM call_edge GROUP BY to_no) v ON key_b = p_partkey) z",
 }
 
-#: Relations that operators build whole, where the SQL that queries are held against leaves rows out.
-WHOLE: dict[str, str] = {
-    "claim": BINDINGS["claim"].replace(" WHERE p_partkey < 1600", ""),
-    "file_import": BINDINGS["file_import"].replace(" WHERE l_quantity >= 40", ""),
-}
-
-
 def closure(names: list[str]) -> list[str]:
     """Bindings that the given ones need, in order."""
     import re
@@ -86,6 +88,17 @@ def with_bindings(sql: str) -> str:
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
+_WHERE: dict[tuple[str, str, str], str] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> str:
+    """A folder's name with the sizes and times of what lies in it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    return folder + "|" + "|".join(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in found))
+
+
 class Facts:
     """Bound relations of one folder of tables, each made when first asked for."""
 
@@ -100,13 +113,22 @@ class Facts:
         if name.startswith("_") or (name not in BINDINGS and name not in TABLES):
             raise AttributeError(name)
         if name not in self._made:
-            self._made[name] = self.table(name) if name in TABLES else self._bound(name)
+            self._made[name] = self.table(name) if name in TABLES else self._built(name) if name in BUILT else self._bound(name)
         return self._made[name]
 
+    def _built(self, name: str) -> DataFrame:
+        made = self._bound(name)
+        key = (self.spark.sparkContext.applicationId, _state(self.spark, self.sf_dir), name)
+        if key not in _WHERE:
+            at = scratch(self.spark, f"facts-{name}")
+            made.write.parquet(at)
+            _WHERE[key] = at
+        return self.spark.read.schema(made.schema).parquet(_WHERE[key])
+
     def _bound(self, name: str) -> DataFrame:
         import re
 
-        sql = WHOLE.get(name, BINDINGS[name])
+        sql = BINDINGS[name]
         used = {o: getattr(self, o) for o in [*BINDINGS, *TABLES] if o != name and re.search(rf"\b{o}\b", sql)}
         # Inputs go by argument, not by temporary views, so that two folders can be open at once.
         for o in used:

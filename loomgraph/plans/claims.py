@@ -21,7 +21,7 @@ _PARSED = f"SELECT claim_no, text, negated, predicate, array_to_string(args, '|'
 
 _EVAL = f"""WITH p AS (SELECT *, args[1] AS a, args[2] AS b, args[3] AS c, CASE WHEN predicate IN ('callers', 'implementations') AND regexp_matches(tail, '^==\\s*[0-9]+$') THEN CAST(regexp_extract(tail, '([0-9]+)', 1) AS BIGINT) END AS n, {_FAULT} AS f0,
   predicate IN ('calls', 'imports', 'references', 'extends', 'implements', 'usesType') AS second, predicate IN ('callers', 'implementations') AS whole FROM {_P} p0),
-dark AS (SELECT path, n_key % 4 = 1 AS syntactic, path IN (SELECT path FROM unresolved_specifier WHERE cause = 'broken' AND line < 20) AS broken FROM file),
+dark AS (SELECT path, n_key % 4 = 1 AS syntactic, path IN (SELECT path FROM unresolved_specifier WHERE cause = 'broken') AS broken FROM file),
 q AS (SELECT p.*, x.path AS path_a, y.path AS path_b, x.durable AS da, y.durable AS db, coalesce(dx.syntactic, FALSE) AS sa, coalesce(dy.syntactic, FALSE) AS sb, coalesce(dx.broken, FALSE) AS ba, coalesce(dy.broken, FALSE) AS bb
   FROM p LEFT JOIN symbol x ON x.id = a LEFT JOIN symbol y ON y.id = b LEFT JOIN dark dx ON dx.path = x.path LEFT JOIN dark dy ON dy.path = y.path),
 o AS (SELECT *, CASE predicate WHEN 'callers' THEN (SELECT count(DISTINCT from_id) FROM call_edge WHERE to_id = a) WHEN 'implementations' THEN (SELECT count(DISTINCT from_id) FROM reference_edge WHERE to_id = a AND kind = 'implements') WHEN 'onlyCalledBy' THEN (SELECT count(*) FROM call_edge WHERE to_id = a AND NOT starts_with(path, regexp_replace(b, '/$', '') || '/')) END AS seen FROM q),
@@ -37,7 +37,7 @@ CASE WHEN fault IS NOT NULL THEN fault WHEN lost THEN 'unresolved' WHEN doubted
 
 
 def _evaluated(f: Facts) -> DataFrame:
-    broken = f.unresolved_specifier.where("cause = 'broken' AND line < 20").select("path").distinct().withColumn("broken", F.lit(True))
+    broken = f.unresolved_specifier.where("cause = 'broken'").select("path").distinct().withColumn("broken", F.lit(True))
     doubts = f.file.select("path", (F.col("n_key") % 4 == 1).alias("syntactic")).join(broken, "path", "left").fillna(False, ["broken"])
     return C.evaluate(f.claim, f.symbol, f.call_edge, f.reference_edge, f.file_import, f.label, doubts)
 
@@ -73,7 +73,7 @@ def _(f: Facts) -> DataFrame:
     return _evaluated(f).select("claim_no", "text", "verdict", "reason").orderBy("claim_no")
 
 
-@query("verify", f"SELECT text, verdict, reason, observed FROM ({_EVAL}) z WHERE claim_no < 48 AND NOT faulty")
+@query("verify", f"SELECT text, verdict, reason, observed FROM ({_EVAL}) z WHERE NOT faulty")
 def _(f: Facts) -> DataFrame:
     return _evaluated(f).where("NOT faulty").select("text", "verdict", "reason", "observed").orderBy("text")
 

@@ -26,6 +26,10 @@ def _sparse(f: Facts, src: str = "from_id", dst: str = "to_id") -> DataFrame:
     return f.sparse_edge.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
 
 
+def _calls(f: Facts, src: str = "from_id", dst: str = "to_id") -> DataFrame:
+    return f.call_edge.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.select(F.array_join("path", ">").alias("path"), "terminus")
 
@@ -40,14 +44,15 @@ def _(f: Facts) -> DataFrame:
     return _shown(walks.paths(_sparse(f), _hubs(f), 2))
 
 
-_DENSE = "(SELECT from_id, to_id FROM call_edge WHERE quantity >= 30 AND from_no < 200 AND to_no < 200)"
-_DENSE_ROOTS = "SELECT 'p' || CAST(p_partkey AS STRING) AS id FROM part WHERE p_partkey < 6"
+_DENSE = "(SELECT from_id, to_id FROM call_edge WHERE quantity >= 30)"
+_DENSE_ROOTS = "SELECT from_id AS id FROM call_edge WHERE quantity >= 30 GROUP BY from_id ORDER BY count(*) DESC, from_id LIMIT 6"
 
 
 @query("trace_cycles", _PATHS.format(src="from_id", dst="to_id", edges=f"{_DENSE} q", roots=_DENSE_ROOTS, depth=4))
 def _(f: Facts) -> DataFrame:
     dense = f.call_edge.where("quantity >= 30").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
-    return _shown(walks.paths(dense, f.part.where("p_partkey < 6").selectExpr("'p' || CAST(p_partkey AS STRING) AS id"), 4))
+    roots = dense.groupBy("src").count().orderBy(F.desc("count"), "src").limit(6).select(F.col("src").alias("id"))
+    return _shown(walks.paths(dense, roots, 4))
 
 
 _SINKS = "SELECT to_id AS id FROM sparse_edge GROUP BY to_id ORDER BY count(*) DESC, to_id LIMIT 3"
@@ -59,7 +64,7 @@ def _(f: Facts) -> DataFrame:
     return _shown(walks.paths(_sparse(f, "to_id", "from_id"), sinks, 3))
 
 
-_IMPACT_EDGES = "SELECT from_id AS src, to_id AS dst, 'calls' AS kind, 0 AS rank FROM sparse_edge UNION SELECT from_id, to_id, kind, 1 FROM reference_edge WHERE line < 20"
+_IMPACT_EDGES = "SELECT from_id AS src, to_id AS dst, 'calls' AS kind, 0 AS rank FROM call_edge UNION SELECT from_id, to_id, kind, 1 FROM reference_edge"
 
 
 def _impact_sql(depth: int, columns: str) -> str:
@@ -72,9 +77,9 @@ def _impact_sql(depth: int, columns: str) -> str:
 
 
 def _impact(f: Facts, depth: int) -> DataFrame:
-    calls = f.sparse_edge.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lit("calls").alias("kind"), F.lit(0).alias("rank"))
-    refs = f.reference_edge.where("line < 20").select("from_id", "to_id", "kind", F.lit(1)).distinct()
-    return walks.impact(calls.union(refs), f.part.where("p_partkey % 97 = 5").selectExpr("'p' || CAST(p_partkey AS STRING) AS id"), depth)
+    calls = f.call_edge.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lit("calls").alias("kind"), F.lit(0).alias("rank"))
+    refs = f.reference_edge.select("from_id", "to_id", "kind", F.lit(1))
+    return walks.impact(calls.union(refs).distinct(), f.part.where("p_partkey % 97 = 5").selectExpr("'p' || CAST(p_partkey AS STRING) AS id"), depth)
 
 
 @query("impact_bfs", _impact_sql(3, "id, depth, through, source"))
@@ -87,11 +92,11 @@ def _(f: Facts) -> DataFrame:
     return _impact(f, 2).groupBy("depth", "through").agg(F.count("*").alias("n")).orderBy("depth", "through")
 
 
-@query("claim_reaches", "WITH RECURSIVE p AS (SELECT 'p' || CAST(p_partkey AS STRING) AS a, 'p' || CAST(p_partkey % 37 AS STRING) AS b FROM part WHERE p_partkey < 60), r AS (SELECT a, to_id AS id FROM p JOIN sparse_edge ON from_id = a UNION SELECT a, to_id FROM r JOIN sparse_edge ON from_id = id) SELECT p.a, p.b, r.id IS NOT NULL AS holds FROM p LEFT JOIN r ON r.a = p.a AND r.id = p.b")
+@query("claim_reaches", "WITH RECURSIVE p AS (SELECT 'p' || CAST(p_partkey AS STRING) AS a, 'p' || CAST(p_partkey % 37 AS STRING) AS b FROM part), e AS (SELECT DISTINCT from_id, to_id FROM call_edge), r AS (SELECT b, from_id AS id FROM (SELECT DISTINCT b FROM p) x JOIN e ON to_id = b UNION SELECT b, from_id FROM r JOIN e ON to_id = id) SELECT p.a, p.b, r.id IS NOT NULL AS holds FROM p LEFT JOIN r ON r.b = p.b AND r.id = p.a")
 def _(f: Facts) -> DataFrame:
     # Searched backwards, as all pairs share 37 ends.
     pairs = f.part.selectExpr("'p' || CAST(p_partkey % 37 AS STRING) AS a", "'p' || CAST(p_partkey AS STRING) AS b")
-    return walks.reaches(_sparse(f, "to_id", "from_id"), pairs, 1000).select(F.col("b").alias("a"), F.col("a").alias("b"), "holds").orderBy("a", "b")
+    return walks.reaches(_calls(f, "to_id", "from_id"), pairs, 1000).select(F.col("b").alias("a"), F.col("a").alias("b"), "holds").orderBy("a", "b")
 
 
 _TOP = "SELECT a AS path FROM l WHERE a <> b GROUP BY a ORDER BY sum(n) DESC, a LIMIT 5"
@@ -147,13 +152,25 @@ def _(f: Facts) -> DataFrame:
     return walks.pagerank(_file_links(f), f.file.select(F.col("path").alias("id")), ROUNDS).select("id", F.round("rank", 6).alias("rank")).orderBy("id")
 
 
-@query("bfs_depth", "WITH RECURSIVE n AS (SELECT DISTINCT id FROM (SELECT from_id AS id FROM sparse_edge UNION ALL SELECT to_id FROM sparse_edge) q), r AS (SELECT id, 0 AS d FROM n WHERE id NOT IN (SELECT to_id FROM sparse_edge WHERE from_id <> to_id) UNION SELECT to_id, d + 1 FROM r JOIN sparse_edge ON from_id = id WHERE d < 60), m AS (SELECT id, min(d) AS d FROM r GROUP BY id) SELECT n.id, CAST(coalesce(m.d, (SELECT coalesce(max(d), 0) FROM m)) AS BIGINT) AS depth FROM n LEFT JOIN m ON m.id = n.id")
+_DEPTH_SQL = "WITH RECURSIVE n AS (SELECT DISTINCT id FROM (SELECT from_id AS id FROM call_edge UNION ALL SELECT to_id FROM call_edge) q), r AS (SELECT id, 0 AS d FROM n WHERE id NOT IN (SELECT to_id FROM call_edge WHERE from_id <> to_id) UNION SELECT to_id, d + 1 FROM r JOIN call_edge ON from_id = id WHERE d < 60), m AS (SELECT id, min(d) AS d FROM r GROUP BY id) SELECT n.id, CAST(coalesce(m.d, (SELECT coalesce(max(d), 0) FROM m)) AS BIGINT) AS depth FROM n LEFT JOIN m ON m.id = n.id"
+
+
+@query("bfs_depth", _DEPTH_SQL)
 def _(f: Facts) -> DataFrame:
-    nodes = f.sparse_edge.select(F.col("from_id").alias("id")).union(f.sparse_edge.select("to_id")).distinct()
-    return walks.depth_from_entries(_sparse(f), nodes).orderBy("id")
+    return _depths(_calls(f))
+
+
+@query("bfs_depth_sparse", _DEPTH_SQL.replace("call_edge", "sparse_edge"))
+def _(f: Facts) -> DataFrame:
+    return _depths(_sparse(f))
+
+
+def _depths(edges: DataFrame) -> DataFrame:
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return walks.depth_from_entries(edges, nodes).orderBy("id")
 
 
-@query("scc", "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS s, to_id AS t FROM call_edge WHERE quantity >= 44 AND from_no < 1000 AND to_no < 1000 AND from_no <> to_no), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t), m AS (SELECT x.s AS id, least(x.s, min(x.t)) AS component FROM r x JOIN r y ON y.s = x.t AND y.t = x.s WHERE x.s <> x.t GROUP BY x.s) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m")
+@query("scc", "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS s, to_id AS t FROM call_edge WHERE from_no <> to_no), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t), m AS (SELECT x.s AS id, least(x.s, min(x.t)) AS component FROM r x JOIN r y ON y.s = x.t AND y.t = x.s WHERE x.s <> x.t GROUP BY x.s) SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM m")
 def _(f: Facts) -> DataFrame:
     return walks.strong_components(f.call_edge.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
 

@@ -120,7 +120,7 @@ def _(f: Facts) -> DataFrame:
     return L.signals(files, RULES).select("node", "axis", "value", "derivation")
 
 
-@query("specifier_spots", "SELECT specifier, cause, count(*) AS sites FROM unresolved_specifier WHERE path IN (SELECT path FROM file WHERE file_no < 20) GROUP BY specifier, cause")
+@query("specifier_spots", "SELECT specifier, cause, count(*) AS sites FROM unresolved_specifier GROUP BY specifier, cause")
 def _(f: Facts) -> DataFrame:
     return f.unresolved_specifier.groupBy("specifier", "cause").agg(F.count("*").alias("sites")).orderBy("specifier", "cause")
 

@@ -93,7 +93,7 @@ def _(f: Facts) -> DataFrame:
     return changed.union(users).union(broken).distinct().join(gone, "path", "left_anti").orderBy("path")
 
 
-_THIN = "(SELECT from_path, to_path FROM file_import WHERE n > 1 AND to_path IS NOT NULL)"
+_THIN = "(SELECT from_path, to_path FROM file_import WHERE to_path IS NOT NULL)"
 _RESHAPED = "(SELECT path FROM file WHERE file_no % 3 <> 0)"
 
 

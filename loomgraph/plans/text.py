@@ -15,7 +15,7 @@ from loomgraph.sources import text as S
 _DOC = "text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '<!-- claim: exists(p1) -->' WHEN 1 THEN '[a](./x.md#y) and [b](https://h/z) [c](<../q r>)' ELSE '[d](#top) [e](//h/i) [f](lib/p.ts?x)' END"
 
 
-@query("discover_documents", f"SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, {_DOC} AS t FROM documents WHERE doc_id % 3 < 2) q WHERE contains(t, '<!-- claim:')")
+@query("discover_documents", f"SELECT doc_id, length(t) AS chars FROM (SELECT doc_id, {_DOC} AS t FROM documents) q WHERE contains(t, '<!-- claim:')")
 def _(f: Facts) -> DataFrame:
     found = f.documents.selectExpr("doc_id", f"{_DOC} AS t")
     return found.where(F.col("t").contains("<!-- claim:")).select("doc_id", F.length("t").cast("long").alias("chars"))
@@ -52,7 +52,7 @@ def _(f: Facts) -> DataFrame:
 _DIFF = "'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/' || event_type || '.ts' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+a' || chr(10) || '+b' || chr(10) || '-c' || chr(10) || '@@ -9 +9 @@' || chr(10) || ' d' || chr(10) || '-e' || chr(10) || 'diff --git a/y b/y' || chr(10) || '+++ b/y.ts' || chr(10) || '@@ -2 +2 @@' || repeat(chr(10) || '+z', CAST(event_id % 5 AS INT))"
 
 
-@query("parse_diff", "SELECT event_id AS doc, CAST(1 AS BIGINT) AS file_no, event_type || '.ts' AS path, CAST(1 AS BIGINT) AS hunk, 2 AS added, 1 AS removed FROM events WHERE event_id < 2000 UNION ALL SELECT event_id, 1, event_type || '.ts', 2, 0, 1 FROM events WHERE event_id < 2000 UNION ALL SELECT event_id, 2, 'y.ts', 1, event_id % 5, 0 FROM events WHERE event_id < 2000 AND event_id % 5 > 0".replace("2 AS added, 1 AS removed", "CAST(2 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed"))
+@query("parse_diff", "SELECT event_id AS doc, CAST(1 AS BIGINT) AS file_no, event_type || '.ts' AS path, CAST(1 AS BIGINT) AS hunk, 2 AS added, 1 AS removed FROM events UNION ALL SELECT event_id, 1, event_type || '.ts', 2, 0, 1 FROM events UNION ALL SELECT event_id, 2, 'y.ts', 1, event_id % 5, 0 FROM events WHERE event_id % 5 > 0".replace("2 AS added, 1 AS removed", "CAST(2 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed"))
 def _(f: Facts) -> DataFrame:
     return S.unified_diff(S.lines_of(f.events.selectExpr("event_id", f"{_DIFF} AS diff"), "event_id", "diff"))
 

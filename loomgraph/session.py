@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +49,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is written there goes when the driver's process ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(clear, spark)
+    _WRITTEN.append(at)
+    return at
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes scratch tables. Frames that read them can't be used after it."""
+    for at in _WRITTEN:
+        where = urlparse(at)
+        if where.scheme in ("", "file"):
+            shutil.rmtree(unquote(where.path), ignore_errors=True)
+            continue
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone at exit; the cluster's folder is cleaned by its owner then
+            return
+    _WRITTEN.clear()
 
 
 def input_bytes(df: DataFrame) -> int:
