@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.llm.columns import without
-from loomgraph.llm.textkernel import _WORD_BASE, _powers, mix
+from loomgraph.llm.textkernel import WORD_BASE, _powers, mix
 from loomgraph.session import prepare
 
 EDIT_RATE = 0.05
@@ -60,7 +60,7 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(_WORD_BASE, len(codes) + 1)
+    power, inverse = _powers(WORD_BASE, len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
     return mix((sums[q:] - sums[:-q]) * inverse[:n])

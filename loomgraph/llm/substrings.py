@@ -4,30 +4,39 @@ Rabin-Karp hashes of all windows of ``width`` words are counted in Spark, and
 the words under windows that also start in a document with a smaller id are
 removed; touching windows merge into maximal intervals.
 
-How it is laid out: documents are spread over *units* by a hash of their id. A
-unit sends each distinct window hash once, with the smallest id that has it, to
-the *bucket* of the hash's high bits, packed as one binary value per unit and
-bucket, so a window that a third of all documents share arrives once per unit.
-A bucket answers with one bit per hash: whether another unit has a smaller id
-for it. The unit repeats its hashing, which has the same order each time, and
-reads off the bits. Each word window costs some 8 bytes of shuffle one way and
-a bit back; texts are shuffled once and used twice. There is a packed value for
-each pair of unit and bucket, so both grow with the root of the input, from 8 MB
-to 128 MB of it, which keeps some tens of hashes in a value at 100 TB; from
-there on their number grows and their memory stays.
-
-Windows are told apart by 64-bit hashes; among n windows one is taken for
-another with probability n / 2**64.
+How it is laid out: documents are spread over *units* of ``UNIT_BYTES`` of text
+by a hash of their row, and are shuffled once. Three passes read that shuffle:
+
+1. Each window has an *anchor*: the least hash among the runs of half its length
+   in it. Equal windows have equal anchors, so a window whose anchor lies in one
+   unit only occurs in no other. A unit sends each distinct anchor once (about
+   one for every 13 words), Spark counts the units of each anchor, and units get
+   back those of their anchors that another has too.
+2. Of windows with such an anchor, a unit sends each distinct hash (128 bits)
+   once, with the smallest id that has it. Spark takes the minimum over units,
+   and a unit gets back the hashes that another unit has with a smaller id.
+3. Each unit settles its own repeats, adds those it was told of, and merges the
+   windows that go into intervals.
+
+So what is sent follows what repeats, not the number of pairs of anything. A
+hash that a third of all documents share is one row for each unit; the two
+windows over such rows sort and spill. Partitions hold many units, and their
+number is bounded by ``PARTITION_BYTES`` of text each.
+
+Windows are told apart by two independent 64-bit hashes; among n windows one is
+taken for another with probability n / 2**128.
 
 Edge cases: a null text has no words and an empty kept text; a document shorter
 than the window keeps all; within one document, or among rows with the same id,
 nothing counts as a repeat; a null id counts as larger than any other, so its
-windows never remove another's; an empty table gives an empty one; input columns
-named like an output are replaced.
+windows never remove another's; rows of one id or of no id are spread by their
+text as well; an empty table gives an empty one; input columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -36,124 +45,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from loomgraph.llm.columns import fresh, without
-from loomgraph.llm.textkernel import Words, chunks, window_hashes, window_owner
-from loomgraph.session import input_bytes, prepare
+from loomgraph.llm.textkernel import VALUES, VALUES_AGAIN, WORD_BASE, WORD_BASE_AGAIN, Words, chunks, sliding_min, window_hashes, window_owner
+from loomgraph.session import prepare
 
 #: Words of a window.
 WIDTH = 50
-#: Input bytes to a unit and to a bucket: at least, and at most.
-UNIT_BYTES = BUCKET_BYTES = 8 << 20
-MOST_BYTES = 128 << 20
+#: Bytes of text to a unit, and to a partition where there are more than ``FEW`` units.
+UNIT_BYTES = 16 << 20
+PARTITION_BYTES = 1 << 30
+FEW = 2_000
 
 _LAST = np.iinfo(np.int64).max
+_NONE = np.zeros(0, np.uint64)
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
-def part_bytes(total: int, least: int) -> int:
-    """Input bytes to a unit or bucket, growing with the root of the input beyond 4 GB."""
-    return int(min(max(least, least * (total / (4 << 30)) ** 0.5), max(least, MOST_BYTES)))
+def layout(total: int, unit_bytes: int) -> tuple[int, int]:
+    """(units, partitions) for so many bytes of text."""
+    units = max(4, -(-total // unit_bytes))
+    return units, units if units <= FEW else max(FEW, -(-total // PARTITION_BYTES))
+
+
+def _runs(column: pa.ChunkedArray) -> Iterator[tuple[int, Words]]:
+    """(number of the first row, words) of runs of whole texts."""
+    rows = 0
+    for part in column.chunks:
+        for first, _, data, offsets in chunks(part):
+            yield rows + first, Words(data, offsets)
+        rows += len(part)
+
+
+def _anchors(words: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of each window of a run of texts, by where it begins."""
+    half = (width + 1) // 2
+    return sliding_min(window_hashes(words, half), width - half + 1)
+
+
+def _join(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 class _Unit:
-    """The distinct window hashes of a unit's documents, in an order that doesn't depend on that of the rows."""
-
-    def __init__(self, table: pa.Table, doc_id: str, text: str, width: int, buckets: int):
-        self.ids = table.column(doc_id).combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
-        hashes, owners, starts, self.bounds = [], [], [], [np.zeros(1, np.int64)]
-        rows = words = 0
-        for batch in table.select([text]).to_batches():
-            for first, last, data, offsets in chunks(batch.column(0)):
-                found = Words(data, offsets)
-                owner, start = window_owner(found.bounds, width)
-                hashes.append(window_hashes(found.hashes(), width)[start] if len(start) else np.zeros(0, np.uint64))
-                owners.append(owner + (rows + first))
-                starts.append(start + words)
-                self.bounds.append(found.bounds[1:] + words)
-                words += len(found.starts)
-            rows += batch.num_rows
-        self.bounds = np.concatenate(self.bounds)
-        self.words, self.width = words, width
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.starts = join(starts, np.int64)
-        known, rank = np.unique(self.ids, return_inverse=True)
-        self.rank = rank[join(owners, np.int64)].astype(np.int32)
-        window = join(hashes, np.uint64)
-        order = np.argsort(window)
+    """The windows of a unit's documents, in groups of equal ones."""
+
+    def __init__(self, table: pa.Table, doc_id: str, text: str, width: int, bits: int, shared: np.ndarray | None = None):
+        """All windows, or those with an anchor in ``shared``, which is sorted."""
+        ids = table.column(doc_id).combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
+        one, two, owners, starts, bounds = [], [], [], [], [np.zeros(1, np.int64)]
+        words = 0
+        for row, found in _runs(table.column(text)):
+            owner, start = window_owner(found.bounds, width)
+            if len(start):
+                hashed = found.hashes(VALUES)
+                if shared is not None:
+                    at = np.searchsorted(shared, anchor := _anchors(hashed, width)[start])
+                    at[at == len(shared)] = 0
+                    some = np.flatnonzero(shared[at] == anchor) if len(shared) else np.zeros(0, np.int64)
+                    owner, start = owner[some], start[some]
+                if len(start):
+                    one.append(window_hashes(hashed, width)[start] >> np.uint64(64 - bits))
+                    two.append(window_hashes(found.hashes(VALUES_AGAIN), width, WORD_BASE_AGAIN)[start])
+                    owners.append(owner + row)
+                    starts.append(start + words)
+            bounds.append(found.bounds[1:] + words)
+            words += len(found.starts)
+        self.bounds, self.words, self.width = np.concatenate(bounds), words, width
+        self.starts = _join(starts, np.int64)
+        self.known, rank = np.unique(ids, return_inverse=True)
+        self.rank = rank[_join(owners, np.int64)].astype(np.int32)
+        one, two = _join(one, np.uint64), _join(two, np.uint64)
+        order = np.argsort(one)
         new = np.ones(len(order), bool)
-        new[1:] = window[order[1:]] != window[order[:-1]]
+        new[1:] = one[order[1:]] != one[order[:-1]]
+        if (~new[1:] & (two[order[1:]] != two[order[:-1]])).any():  # equal first hashes of different windows
+            order = np.lexsort((two, one))
+            new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
         at = np.flatnonzero(new)
         self.group = np.empty(len(order), np.int32)
         self.group[order] = np.cumsum(new) - 1
-        self.hash = window[order[at]]
+        self.one, self.two = one[order[at]], two[order[at]]
         self.least = np.minimum.reduceat(self.rank[order], at) if len(at) else np.zeros(0, np.int32)
-        self.known = known
-        bucket = ((self.hash >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        self.order = np.lexsort((self.least, bucket))  # stable: hashes ascend among equal ones
-        self.bucket = bucket[self.order].astype(np.int32)
-
-    def pieces(self) -> list[tuple[int, np.ndarray]]:
-        """Of each bucket, the places of its hashes, in order."""
-        if not len(self.order):
-            return []
-        cut = np.flatnonzero(np.diff(self.bucket)) + 1
-        return [(int(self.bucket[a]), self.order[a:b]) for a, b in zip([0, *cut], [*cut, len(self.order)], strict=True)]
-
-    def covered(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Which words lie under a window that a smaller id has."""
-        elsewhere = np.zeros(len(self.hash), bool)
-        for bucket, places in self.pieces():
-            bits = np.frombuffer(answers[bucket], np.uint8)
-            elsewhere[places] = np.unpackbits(bits, count=len(places)).view(bool)
+
+    def covered(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Which words lie under a window that a smaller id has, in this unit or, as the given hashes say, in another."""
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        first = np.searchsorted(one, self.one)
+        elsewhere = np.zeros(len(self.one), bool)
+        most = int(np.unique(one, return_counts=True)[1].max(initial=0))
+        for k in range(most):  # more than one only where first hashes of different windows are equal
+            at = np.minimum(first + k, len(one) - 1)
+            elsewhere |= (one[at] == self.one) & (two[at] == self.two)
         begins = self.starts[elsewhere[self.group] | (self.rank > self.least[self.group])]
         edge = np.bincount(begins, minlength=self.words + self.width + 1).astype(np.int32)
         edge[self.width :] -= edge[: -self.width].copy()
         return np.cumsum(edge)[: self.words] > 0
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, unit_bytes: int = UNIT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Adds ``n_words``, ``n_removed``, ``removed`` (word intervals, last one excluded) and ``kept`` (words joined by a space)."""
+def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().view(np.uint64) if len(column) else _NONE
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, unit_bytes: int = UNIT_BYTES, bits: int = 64) -> DataFrame:
+    """Adds ``n_words``, ``n_removed``, ``removed`` (word intervals, last one excluded) and ``kept`` (words joined by a space).
+
+    ``bits`` of the first hash are used; fewer than 64 only make it collide more often, as the tests do.
+    """
     added = ["n_words", "n_removed", "removed", "kept"]
     docs = without(docs, added)
     prepare(docs.sparkSession)
     unit = fresh(docs, "unit")
-    total = input_bytes(docs)
-    units, buckets = (max(4, -(-total // part_bytes(total, least))) for least in (unit_bytes, bucket_bytes))
+    units, parts = layout(docs.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0, unit_bytes)
     names = docs.columns
-    spread = docs.withColumn(unit, F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("long")), F.lit(units)).cast("int")).repartition(units, F.col(unit))
-
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        found, out = _Unit(table, doc_id, text, width, buckets), []
-        for bucket, places in found.pieces():
-            least = found.least[places]
-            cut = np.flatnonzero(np.diff(least, prepend=-1))
-            out.append((bucket, key[0].as_py(), found.known[least[cut]].tobytes(), np.diff(cut, append=len(places)).astype(np.int32).tobytes(), found.hash[places].tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "unit", "ids", "runs", "hashes"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-        ids = [np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(r.as_buffer(), np.int32)) for i, r in zip(table.column("ids"), table.column("runs"), strict=True)]
-        sizes = [len(x) for x in hashes]
-        window, owner = np.concatenate(hashes), np.concatenate(ids)
-        order = np.argsort(window)
-        new = np.ones(len(order), bool)
-        new[1:] = window[order[1:]] != window[order[:-1]]
-        least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
-        smaller = np.empty(len(order), bool)
-        smaller[order] = owner[order] > least[np.cumsum(new) - 1]
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(smaller[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)]
-        return pa.table([table.column("unit"), table.column("bucket"), pa.array(bits, pa.binary())], names=["unit", "bucket", "bits"])
+    place = F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")), F.lit(units)).cast("int")
+    spread = docs.withColumn(unit, place).repartition(parts, F.col(unit))
+
+    def announce(key: tuple, table: pa.Table) -> pa.Table:
+        seen = [np.unique(_anchors(found.hashes(VALUES), width)[start]) for _, found in _runs(table.column(text)) if len(start := window_owner(found.bounds, width)[1])]
+        anchors = np.unique(np.concatenate(seen)) if seen else _NONE
+        return pa.table([pa.array(anchors.view(np.int64)), pa.array(np.full(len(anchors), key[0].as_py(), np.int32))], names=["anchor", unit])
+
+    def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _Unit(left, doc_id, text, width, bits, np.sort(_unsigned(right.column("anchor"))))
+        owner = np.full(len(found.one), key[0].as_py(), np.int32)
+        return pa.table([pa.array(found.one.view(np.int64)), pa.array(found.two.view(np.int64)), pa.array(owner), pa.array(found.known[found.least])], names=["one", "two", unit, "least"])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _Unit(left, doc_id, text, width, buckets)
-        gone = found.covered(dict(zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True)))
-        bounds = found.bounds
-        flag = np.zeros(len(gone) + 1, np.int8)
-        flag[:-1] = gone
+        found = _Unit(left, doc_id, text, width, bits)
+        gone, bounds = found.covered(_unsigned(right.column("one")), _unsigned(right.column("two"))), found.bounds
         fresh_start = gone.copy()
         fresh_start[1:] &= ~gone[:-1]
         inner = bounds[1:-1][bounds[1:-1] < len(gone)]
@@ -168,8 +190,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         n_removed = total[bounds[1:]] - total[bounds[:-1]]
         kept = []
         keep = ~gone
-        texts = left.column(text)
-        for k, value in enumerate(texts):
+        for k, value in enumerate(left.column(text)):
             words = (value.as_buffer().to_pybytes() if value.is_valid else b"").split()
             kept.append(b" ".join(words if not n_removed[k] else compress(words, keep[bounds[k] : bounds[k + 1]].tolist())))
         offsets = np.searchsorted(home, np.arange(left.num_rows + 1)).astype(np.int32)
@@ -177,7 +198,9 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(firsts - base), pa.array(lasts - base)], names=["first", "last"])).cast(to_arrow_type(SPANS))
         return pa.table([*[left.column(c) for c in names], pa.array(np.diff(bounds)), pa.array(n_removed), spans, pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, *added])
 
-    sent = spread.groupBy(unit).applyInArrow(send, "bucket int, unit int, ids binary, runs binary, hashes binary")
-    answers = sent.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(answer, "unit int, bucket int, bits binary").withColumnRenamed("unit", unit)
+    sent = spread.groupBy(unit).applyInArrow(announce, f"anchor long, `{unit}` int").repartition(parts, "anchor")
+    shared = sent.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1").select("anchor", unit)
+    asked = spread.groupBy(unit).cogroup(shared.groupBy(unit)).applyInArrow(ask, f"one long, two long, `{unit}` int, least long").repartition(parts, "one", "two")
+    smaller = asked.withColumn("m", F.min("least").over(Window.partitionBy("one", "two"))).where("m < least").select("one", "two", unit)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept", T.StringType())])
-    return spread.groupBy(unit).cogroup(answers.groupBy(unit)).applyInArrow(apply, schema)
+    return spread.groupBy(unit).cogroup(smaller.groupBy(unit)).applyInArrow(apply, schema)

@@ -21,7 +21,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
+WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
+WORD_BASE_AGAIN = np.uint64(0xA24BAED4963EE407)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -59,13 +60,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values(fold: np.ndarray) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+def _byte_values(fold: np.ndarray, factor: int) -> np.ndarray:
+    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor))
     return values[fold]
 
 
-VALUES = _byte_values(IDENTITY)
-VALUES_LOWER = _byte_values(LOWER_ASCII)
+VALUES = _byte_values(IDENTITY, 0xA0761D6478BD642F)
+VALUES_LOWER = _byte_values(LOWER_ASCII, 0xA0761D6478BD642F)
+#: For a second hash, independent of the first.
+VALUES_AGAIN = _byte_values(IDENTITY, 0xE7037ED1A0B428DB)
+VALUES_LOWER_AGAIN = _byte_values(LOWER_ASCII, 0xE7037ED1A0B428DB)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +141,7 @@ class Words:
         return mix(out)
 
 
-def window_hashes(words: np.ndarray, width: int, base: np.uint64 = _WORD_BASE) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: np.uint64 = WORD_BASE) -> np.ndarray:
     """Hash of every run of ``width`` words, by where it begins; runs across documents included."""
     n = len(words) - width + 1
     if n <= 0:
@@ -154,3 +158,15 @@ def window_owner(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     owner = np.repeat(np.arange(len(counts)), counts)
     start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(bounds[:-1], counts)
     return owner, start
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every run of ``width`` values, by where it begins."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    span = 1
+    while span * 2 <= width:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[:n], values[width - span : width - span + n])

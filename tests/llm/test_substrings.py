@@ -38,7 +38,7 @@ def test_against_brute_force(spark):
         rows.append((i * 7 % 150, rnd.choice([" ", "\n", "  \t"]).join(ws)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for width in (1, 3, 8):
-        found = substrings.remove_repeats(df, width=width, unit_bytes=200, bucket_bytes=200)
+        found = substrings.remove_repeats(df, width=width, unit_bytes=200)
         assert result(found) == brute(rows, width)
 
 
@@ -53,3 +53,29 @@ def test_edges(edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     assert result(substrings.remove_repeats(edge_docs, width=50)) == brute(rows, 50)
     assert substrings.remove_repeats(no_docs).count() == 0
+
+
+def test_first_hashes_that_collide(spark):
+    """With 6 bits of the first hash nearly all windows share it with others, and the second one tells them apart."""
+    rnd = random.Random(4)
+    shared = [rnd.choice("abcd") + str(rnd.randrange(60)) for _ in range(40)]
+    rows = [(i, " ".join([rnd.choice("uvw") + str(rnd.randrange(99)) for _ in range(rnd.randrange(30))] + shared[rnd.randrange(20) :])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (6, 64):
+        assert result(substrings.remove_repeats(df, width=4, unit_bytes=500, bits=bits)) == brute(rows, 4)
+
+
+def test_rows_without_id_or_of_one_id_spread(spark):
+    rnd = random.Random(5)
+    text = lambda: " ".join(rnd.choice("abcdef") for _ in range(60))
+    rows = [(rnd.choice([None, 7, 7, i]), text()) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substrings.remove_repeats(df, width=5, unit_bytes=500)) == brute(rows, 5)
+
+
+def test_layout():
+    """Units follow the text; partitions stay a bounded number of bytes, so 100 TB is some 100,000 of them."""
+    assert substrings.layout(0, 16 << 20) == (4, 4)
+    assert substrings.layout(1 << 30, 16 << 20) == (64, 64)
+    units, parts = substrings.layout(100 << 40, 16 << 20)
+    assert units == 100 << 16 and parts == 100 << 10
