@@ -11,18 +11,25 @@ is applied after shifting sigma's value by k around the circle of 2**32 places,
 for coordinate k. ``plan_bands`` picks the longest bands for which a pair at the
 threshold is missed with a probability of 1e-6 at most.
 
-Rows with equal sets are one node from the start, whatever their number. In each
-bucket of equal bands, members are first compared with the bucket's smallest one
-only; links become components, and what remains are pairs of one bucket in
-*different* components. Of these, pairs are compared unless they cannot be
-similar by size, or, by the triangle inequality of Jaccard distance, by their
-distances from the bucket's first member. So no link between components is lost,
-and no bucket ever gives all its pairs. Verification takes the whole texts of
-documents that share a bucket with another, never of all.
+Rows with equal sets are one node from the start, whatever their number; sets
+are told apart by their size and two independent 64-bit sums over all shingles.
+In each bucket of equal bands, members are first compared with the bucket's
+smallest one only, and links become components. Members of a bucket that then
+lie in *different* components are not compared pair by pair: two sets of the
+threshold share one of the rarest shingles of either, so many that the rest
+alone could not reach it. These rarest shingles are joined on their hashes, and
+only pairs that share one, lie in different components and are of like size are
+compared. Rarity is read from a table of ``PLACES`` counts over the shingles of
+all such documents, which any order would make exact and this one makes few:
+what a template gives to each of its pages comes last. So no link between
+components is lost, and pages of one template give no pairs by that alone.
+Verification takes the whole texts of documents that share a bucket with
+another, never of all.
 
 Edge cases: null texts have no words; rows with a null id are kept and get no
-component; rows that share an id are one node; an empty table gives an empty
-one; input columns named like an output are replaced.
+component; rows that share an id are one node, which links whatever its texts
+link; an empty table gives an empty one; input columns named like an output are
+replaced.
 """
 
 from __future__ import annotations
@@ -36,13 +43,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import fresh, without
 from loomgraph.llm.components import components
-from loomgraph.llm.textkernel import VALUES_LOWER, Words, chunks, mix, window_hashes, window_owner
+from loomgraph.llm.textkernel import VALUES_LOWER, VALUES_LOWER_AGAIN, WORD_BASE, WORD_BASE_AGAIN, Words, chunks, mix, window_hashes, window_owner
 from loomgraph.session import prepare, scratch
 
 #: Coordinates of a signature at most.
 COORDINATES = 128
 #: Chance of missing a pair at the threshold, at most.
 MISS = 1e-6
+#: Counts by which shingles of documents that are left over are ordered (a power of two; 8 bytes each are broadcast).
+PLACES = 1 << 20
 
 
 def plan_bands(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> tuple[int, int]:
@@ -54,28 +63,35 @@ def plan_bands(percent: int, coordinates: int = COORDINATES, miss: float = MISS)
     raise ValueError("no banding reaches this threshold")
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts): the distinct shingles of each document of a chunk, ascending within it."""
+def _hashed(found: Words, values: np.ndarray, base: np.uint64, start: np.ndarray, short: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles at ``start``, then of the whole texts in ``short``."""
+    words = found.hashes(values)
+    hashes = window_hashes(words, width, base)[start] if len(start) else np.zeros(0, np.uint64)
+    if not len(short):
+        return hashes
+    sizes, whole = np.diff(found.bounds)[short], np.zeros(len(short), np.uint64)
+    for n in range(1, width):
+        of = np.flatnonzero(sizes == n)
+        if len(of):
+            whole[of] = mix(window_hashes(words, n, base)[found.bounds[short[of]]] + np.uint64(n))
+    return np.concatenate([hashes, whole])
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int, again: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes, counts, second hashes): the distinct shingles of each document of a chunk, ascending within it."""
     found = Words(data, offsets)
-    words = found.hashes(VALUES_LOWER)
     owner, start = window_owner(found.bounds, width)
-    hashes = window_hashes(words, width)[start] if len(start) else np.zeros(0, np.uint64)
     sizes = np.diff(found.bounds)
     short = np.flatnonzero((sizes > 0) & (sizes < width))
-    if len(short):
-        whole = np.zeros(len(short), np.uint64)
-        for n in range(1, width):
-            of = np.flatnonzero(sizes[short] == n)
-            if len(of):
-                whole[of] = mix(window_hashes(words, n)[found.bounds[short[of]]] + np.uint64(n))
-        hashes, owner = np.concatenate([hashes, whole]), np.concatenate([owner, short])
+    hashes, owner = _hashed(found, VALUES_LOWER, WORD_BASE, start, short, width), np.concatenate([owner, short])
     n = len(sizes)
     order = np.argsort(hashes)
     order = order[np.argsort(owner[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.bincount(owner[new], minlength=n)
+    second = _hashed(found, VALUES_LOWER_AGAIN, WORD_BASE_AGAIN, start, short, width)[order[new]] if again else None
+    return hashes[new], np.bincount(owner[new], minlength=n), second
 
 
 def circulant_signatures(hashes: np.ndarray, counts: np.ndarray, coordinates: int) -> np.ndarray:
@@ -104,13 +120,13 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, row
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(1)):
-                hashes, counts = shingles(data, offsets, width)
+                hashes, counts, second = shingles(data, offsets, width, again=True)
                 some = np.flatnonzero(counts)
                 keys, sums = np.zeros((len(some), bands), np.uint64), np.zeros((2, len(counts)), np.uint64)
                 if len(some):
                     at = (np.cumsum(counts) - counts)[some]
                     sums[0, some] = np.add.reduceat(mix(hashes.copy()), at)
-                    sums[1, some] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at)
+                    sums[1, some] = np.add.reduceat(mix(second), at)
                     values = circulant_signatures(hashes, counts, bands * rows).reshape(len(some), bands, rows)
                     keys[:] = np.arange(1, bands + 1, dtype=np.uint64)
                     for r in range(rows):
@@ -139,7 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             common, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             heads = batch.column(1).to_pylist()
             for first, last, data, offsets in chunks(batch.column(2)):
-                hashes, counts = shingles(data, offsets, width)
+                hashes, counts, _ = shingles(data, offsets, width)
                 ends = np.cumsum(counts)
                 for k in range(first, last):
                     if head != heads[k]:
@@ -156,6 +172,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, common long, total long")
 
 
+def leftover_pairs(left: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b), a > b: pairs of ``left`` (id, component) in different components that share one of the rarest shingles of both."""
+    spark = left.sparkSession
+    there = texts.join(left.hint("merge"), "id").select("id", "component", "text")
+    shift = np.uint64(64 - (PLACES.bit_length() - 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                seen += np.bincount((shingles(data, offsets, width)[0] >> shift).astype(np.int64), minlength=PLACES)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["place", "n"])
+
+    # PLACES rows at most, whatever the corpus.
+    counted = there.select("text").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(PLACES, np.int64)
+    often[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in chunks(batch.column(2)):
+                hashes, counts, _ = shingles(data, offsets, width)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                order = np.lexsort((hashes, sent.value[(hashes >> shift).astype(np.int64)], owner))
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                most = counts - -(-counts * percent // 100) + 1  # of n shingles, n - ceil(percent of n) + 1
+                some = place < most[owner]
+                of = owner[some]
+                at = pa.array(of + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(counts[of]), pa.array(hashes[order][some].view(np.int64))], names=["id", "component", "n", "hash"])
+
+    keys = there.mapInArrow(rarest, "id long, component long, n long, hash long")
+    x, y = (keys.select("hash", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n")]) for side in "xy")
+    fits = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    pairs = x.join(y, "hash").where((F.col("component_x") < F.col("component_y")) & fits)
+    return pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5, coordinates: int = COORDINATES) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept`` (whether that is the row's own)."""
     docs = without(docs, ["n_shingles", "component_id", "kept"])
@@ -180,33 +236,30 @@ def groups_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pe
     filled = sketch.where("n_shingles > 0")
     same = ["n_shingles", "s1", "s2"]
     sets = filled.groupBy(*same).agg(F.min("id").alias("node"))
+    ids = kept(sketch.select("id", *same).join(sets, same, "left").select("id", "n_shingles", "node"), "ids")
     nodes = filled.join(sets.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = nodes.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").select("key", "center")
     members = kept(nodes.join(buckets, "key"), "members")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     texts = kept(texts, "texts")
     size_of = members.where("id = center").select("center", F.col("n").alias("center_n")).distinct()
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    stars = members.where("id <> center").select("id", "center", "n").distinct().join(size_of, "center").where(fits(F.col("n"), F.col("center_n"))).select(F.col("id").alias("a"), F.col("center").alias("b"))
+    fits = F.least("n", "center_n") * 100 >= F.greatest("n", "center_n") * percent
+    stars = members.where("id <> center").select("id", "center", "n").distinct().join(size_of, "center").where(fits).select(F.col("id").alias("a"), F.col("center").alias("b"))
     first = kept(_verified(stars.distinct(), texts, width), "first")
     is_link = F.col("common") * 100 >= F.col("total") * percent
-    found = kept(components(first.where(is_link)), "found")
+    # An id with several texts is one node: its nodes are linked.
+    least = ids.where("node IS NOT NULL").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("id", "b")
+    own = ids.join(least, "id").select(F.col("node").alias("a"), "b")
+    found = kept(components(first.where(is_link).select("a", "b").union(own)), "found")
 
-    # What remains: pairs of one bucket in different components.
+    # What remains: members of one bucket in different components.
     placed = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    far = first.select(F.col("a").alias("id"), F.col("b").alias("center"), (1 - F.col("common") / F.col("total")).alias("far"))
-    left = placed.join(mixed, "key", "left_semi").join(far, ["id", "center"], "left").withColumn("far", F.when(F.col("id") == F.col("center"), F.lit(0.0)).otherwise(F.col("far")))
-    left = kept(left.select("key", "id", "n", "component", "far"), "left")
-    x = left.select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "component", "far")])
-    y = left.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "component", "far")])
-    near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = x.join(y, "key").where((F.col("component_x") < F.col("component_y")) & fits(F.col("n_x"), F.col("n_y")) & near)
-    pairs = pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = kept(pairs, "pairs")
-    if not pairs.isEmpty():
+    left = kept(placed.join(mixed, "key", "left_semi").select("id", "component").distinct(), "left")
+    if not left.isEmpty():
+        pairs = kept(leftover_pairs(left, texts, width, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         second = kept(_verified(pairs, texts, width).where(is_link), "second")
         if not second.isEmpty():
             found = components(second.select("a", "b").union(found.select("node", "component")))
-    ids = sketch.join(sets, same, "left").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("node").alias("node"))
-    return ids.join(found.select("node", "component"), "node", "left").select("id", "n_shingles", F.coalesce("component", "node", "id").alias("component_id"))
+    one = ids.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("node").alias("node"))
+    return one.join(found.select("node", "component"), "node", "left").select("id", "n_shingles", F.coalesce("component", "node", "id").alias("component_id"))

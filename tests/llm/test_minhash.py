@@ -104,3 +104,37 @@ def test_edges(edge_docs, no_docs):
     assert all(r["kept"] for r in kept.where("doc_id IS NULL").collect())
     assert kept.where("__id = 'z' AND row = 'z'").count() == len(rows)
     assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_pages_of_one_template_give_few_pairs(spark):
+    """2,000 pages that share three quarters of their shingles: they fall into common buckets, yet candidates stay linear."""
+    rnd = random.Random(12)
+    template = [f"t{i}" for i in range(120)]
+    rows = [(i, " ".join(template + [f"p{rnd.randrange(10**9)}" for _ in range(36)])) for i in range(2000)]
+    near = list(rows[7][1].split())
+    near[130] = "other"
+    rows.append((5000, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pages = df.selectExpr("doc_id AS id", "doc_id AS component")
+    pairs = minhash.leftover_pairs(pages, df.selectExpr("doc_id AS id", "text"), 5, 85)
+    assert pairs.count() < 2 * len(rows)
+    assert (5000, 7) in {(r["a"], r["b"]) for r in pairs.collect()}
+    got = found(df, percent=85)
+    assert got[5000][1] == 7 and all(c == i for i, (_, c) in got.items() if i < 5000)
+
+
+def test_leftover_pairs_miss_no_link(spark):
+    rows = family(seed=8, groups=30, size=7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = df.selectExpr("doc_id AS id", "doc_id AS component")
+    pairs = {(r["a"], r["b"]) for r in minhash.leftover_pairs(alone, df.selectExpr("doc_id AS id", "text"), 5, 85).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = {(i, j) for i in sets for j in sets if i > j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert len(links) > 20 and links <= pairs
+
+
+def test_an_id_with_two_texts_links_both(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (2, b), (9, a + " end")]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 5: 1, 2: 1, 9: 1}
