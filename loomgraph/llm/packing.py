@@ -10,7 +10,9 @@ segment.
 Rows are packed within groups of ``GROUP_TOKENS`` tokens of one input partition,
 so nothing is shuffled, a hot source does no harm, memory doesn't follow the
 partition's size, and a lost task is simply run again. A group holds thousands
-of rows, of which only the last few have room to spare.
+of rows, of which only the last few have room to spare. So which documents share
+a row depends on how the input is split into partitions; what is in the rows
+together does not.
 
 Edge cases: null and empty texts have no tokens and appear in no row; a text of
 any length is kept whole across pieces, in order; repeated rows are packed each;
@@ -22,9 +24,11 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -91,6 +95,24 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+#: A run of white space from here on is cut out as the pattern would cut it, since the pattern's look-ahead overflows its stack on some 900,000.
+LONG_BLANKS = 100_000
+_BLANKS = regex.compile(r"\p{White_Space}{%d,}" % LONG_BLANKS)
+
+
+def encode_whole(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text with white space of any length. Of a long run, all but a last blank before a word is one piece."""
+    if len(text) < LONG_BLANKS:
+        return encoder.encode_ordinary(text)
+    out, at = [], 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[at : run.start()])
+        out += encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:])
+
+
 _ENCODERS: dict[bytes, tiktoken.Encoding] = {}
 
 
@@ -109,7 +131,7 @@ def token_ids(path: str, spark) -> Callable[[], Callable[[str], list[int]]]:  #
     if len(raw) > 64 << 20:
         raise ValueError("tokenizer file is larger than 64 MB")
     sent = spark.sparkContext.broadcast(raw)
-    return lambda: _encoder(sent.value).encode_ordinary
+    return lambda: partial(encode_whole, _encoder(sent.value))
 
 
 SCHEMA = "shard int, bin long, n_tokens int, doc_ids array<long>, pieces array<int>, input_ids binary, cu_seqlens array<int>, position_ids binary"

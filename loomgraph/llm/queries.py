@@ -9,15 +9,22 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontam, licenses, media, minhash, packing, quality, substrings, toxicity, warc
 
-#: Folder of public tokenizer files.
-TOKENIZERS = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
+
+def _tokenizer(name: str) -> str:
+    """Where a public tokenizer file lies: in ``LOOMGRAPH_TOKENIZERS`` if that is set, else where the installed files are."""
+    folder = os.environ.get("LOOMGRAPH_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+BYTE_BPE = _tokenizer("byte_bpe_50k.json")
+BYTE_RANKS = _tokenizer("byte_bpe_50k.tiktoken")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -146,21 +153,23 @@ FROM w LEFT JOIN found USING (doc_id)
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """Captures bound to the pages table: of each page a full response and two later revisits, with or without fitting validators."""
+    """Captures bound to the pages table: of each page a full response, one that failed, and two later revisits, with or without fitting validators."""
     k, page = F.col("k"), F.col("page_id")
-    second = F.lit(1704067200) + page * 7919 % 100003 + k * 60000
+    second = F.lit(1704067200) + page * 7919 % 100003 + F.when(k == 3, 30000).otherwise(k * 60000)
+    answer = k.isin(0, 3)
     tag = F.when(k < 2, F.md5("html")).when(page % 3 == 1, F.lit("stale"))
     changed = F.when((k == 0) | (k == 2) & (page % 3 == 2), page.cast("string"))
     stored = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("ETag"), tag, F.lit("Last-Modified"), changed)
     update = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("Date"), second.cast("string"), F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Last-Modified"), changed)
-    return pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(
-        (page * 3 + k).alias("record_id"),
+    return pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+        (page * 4 + k).alias("record_id"),
         "url",
-        F.when(k == 0, "response").otherwise("revisit").alias("kind"),
-        F.when(k > 0, warc.NOT_MODIFIED).alias("profile"),
+        F.when(answer, "response").otherwise("revisit").alias("kind"),
+        F.when(~answer, warc.NOT_MODIFIED).alias("profile"),
         F.timestamp_seconds(second).alias("date"),
-        F.map_filter(F.when(k == 0, stored).otherwise(update), lambda _, v: v.isNotNull()).alias("headers"),
-        F.when(k == 0, F.encode("html", "UTF-8")).alias("payload"),
+        F.map_filter(F.when(answer, stored).otherwise(update), lambda _, v: v.isNotNull()).alias("headers"),
+        F.when(k == 0, F.encode("html", "UTF-8")).when(k == 3, F.lit(b"gone")).alias("payload"),
+        F.when(k == 0, 200).when(k == 3, F.when(page % 2 == 0, 404).otherwise(206)).otherwise(304).alias("http_status"),
     )
 
 
@@ -172,11 +181,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH bare AS (SELECT page_id, url, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
-cut AS (SELECT page_id, url, html, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS r FROM bare),
-parts AS (SELECT page_id, url, html, regexp_replace(regexp_replace(h, '^www\.', ''), ':(80|443)$', '') AS h, regexp_replace(regexp_extract(r, '^([^?]*)', 1), '/+$', '') AS p,
-  array_to_string(list_sort([q FOR q IN string_split(regexp_extract(r, '\?(.*)$', 1), '&') IF q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')]), '&') AS q FROM cut),
+cut AS (SELECT page_id, url, html, starts_with(lower(u), 'https:') AS secure, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS r FROM bare),
+parts AS (SELECT page_id, url, html, regexp_replace(regexp_replace(h, '^www\.', ''), CASE WHEN secure THEN ':443$' ELSE ':80$' END, '') AS h, regexp_replace(regexp_extract(r, '^([^?]*)', 1), '/+$', '') AS p,
+  array_to_string(list_sort([q FOR q IN string_split(regexp_extract(r, '\?(.*)$', 1), '&') IF q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|fbclid|gclid)(=|$)')]), '&') AS q FROM cut),
 keyed AS (SELECT page_id, html, CASE WHEN h = '' THEN url ELSE h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key FROM parts),
-rec AS (SELECT page_id * 3 + k AS record_id, k, page_id, url_key, 1704067200 + page_id * 7919 % 100003 + k * 60000 AS sec,
+rec AS (SELECT page_id * 4 + k AS record_id, k, page_id, url_key, 1704067200 + page_id * 7919 % 100003 + k * 60000 AS sec,
   CASE WHEN k < 2 THEN md5(html) WHEN page_id % 3 = 1 THEN 'stale' END AS tag, CASE WHEN k = 0 OR (k = 2 AND page_id % 3 = 2) THEN CAST(page_id AS VARCHAR) END AS changed, html
   FROM keyed, (SELECT unnest([0, 1, 2]) AS k)),
 pairs AS (SELECT v.record_id, v.url_key, v.sec, v.tag, v.changed, r.record_id AS refers_to, r.tag AS s_tag, r.changed AS s_changed, r.html,

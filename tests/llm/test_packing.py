@@ -59,3 +59,20 @@ def test_nothing_is_lost(spark, edge_docs, no_docs):
     assert packing.pack(no_docs, queries.BYTE_RANKS).count() == 0
     total = sum(len(encoder.encode_ordinary(r["text"] or "")) for r in edge_docs.collect())
     assert sum(r["n_tokens"] for r in packing.pack(edge_docs, queries.BYTE_RANKS).collect()) == total
+
+
+def test_long_white_space(spark, monkeypatch):
+    encoder = packing._encoder(open(queries.BYTE_RANKS, "rb").read())
+    long = [" " * 2_000_000, "a" + "\n" * 1_500_000 + "b c", "x" * 300_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    pieces = {}
+    for r in packing.pack(df, queries.BYTE_RANKS).collect():
+        for d, a, b in zip(r["doc_ids"], r["cu_seqlens"][:-1], r["cu_seqlens"][1:], strict=True):
+            pieces[d] = pieces.get(d, 0) + b - a
+    assert pieces == {i: len(packing.encode_whole(encoder, t)) for i, t in enumerate(long)}
+    assert encoder.decode(packing.encode_whole(encoder, long[1])) == long[1]
+    # Short runs are cut by the pattern itself, so a low limit must change nothing.
+    monkeypatch.setattr(packing, "LONG_BLANKS", 4)
+    monkeypatch.setattr(packing, "_BLANKS", packing.regex.compile(r"\p{White_Space}{4,}"))
+    for text in ("  a    b", "    ", "a    ", "x \n\n\n\n y", "\t\t\t\t\tz", "p\u00a0\u00a0\u00a0\u00a0q", "    .!"):
+        assert packing.encode_whole(encoder, text) == encoder.encode_ordinary(text)

@@ -98,3 +98,44 @@ def test_profile_of_warc_1_0_counts(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(early + one + two + other)
     got = warc.resolve(warc.read(spark, str(tmp_path))).collect()
     assert sorted((r["status"], r["payload"] and bytes(r["payload"])) for r in got) == [("orphan", None), ("resolved", b"body")]
+
+
+def test_only_full_responses_count(spark, tmp_path):
+    """A 404, a partial and a truncated answer between the full one and the revisit are passed over; a last record that breaks off is left out."""
+
+    def record(kind, date, http, body, more=""):
+        block = http.encode() + b"\r\n\r\n" + body
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: https://a.example:443/p?ref=1\r\nWARC-Date: {date}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    parts = [
+        record("response", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK", b"full"),
+        record("response", "2024-01-02T00:00:00Z", "HTTP/1.1 404 Not Found", b"none"),
+        record("response", "2024-01-02T01:00:00Z", "HTTP/1.1 206 Partial Content", b"part"),
+        record("response", "2024-01-02T02:00:00Z", "HTTP/1.1 200 OK", b"cut", "WARC-Truncated: length\r\n"),
+        record("revisit", "2024-01-03T00:00:00Z", "HTTP/1.1 304 Not Modified", b"", f"WARC-Profile: {warc.NOT_MODIFIED}\r\n"),
+        record("response", "2024-01-02T03:00:00Z", "HTTP/1.1 200 OK", b"x" * 500)[:-300],
+    ]
+    (tmp_path / "x y.warc").write_bytes(b"".join(parts))
+    (tmp_path / "z.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts[:5])[:-60])
+    records = warc.read(spark, str(tmp_path))
+    assert sorted(r["http_status"] for r in records.collect()) == [200, 200, 206, 206, 206, 206, 304, 404, 404]
+    got = warc.resolve(records).collect()
+    assert [(r["status"], bytes(r["payload"]), r["url_key"]) for r in got] == [("unchecked", b"full", "a.example/p?ref=1")]
+
+
+def test_many_records_and_a_long_payload_are_read_in_batches(spark, tmp_path):
+    block = lambda n: b"HTTP/1.1 200 OK\r\n\r\n" + b"y" * n
+    head = lambda i, n: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://a.example/{i}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {n + 19}\r\n\r\n".encode()
+    sizes = [10] * 2500 + [30_000_000] + [20] * 3
+    (tmp_path / "x.warc").write_bytes(b"".join(head(i, n) + block(n) + b"\r\n\r\n" for i, n in enumerate(sizes)))
+    found = warc.read(spark, str(tmp_path)).selectExpr("octet_length(payload) AS n").groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in found} == {10: 2500, 30_000_000: 1, 20: 3}
+
+
+def test_odd_dates_do_not_crowd_the_ranges(spark):
+    """One record of 1970 and one of 9999 among a hot URL's captures leave the others spread over the ranges."""
+    rows = [(i, "http://hot.example/", "response" if i % 3 else "revisit", None, DAY + datetime.timedelta(seconds=i), {}, bytearray(b"%d" % i) if i % 3 else None) for i in range(1, 400)]
+    rows += [(1000, "http://hot.example/", "response", None, datetime.datetime(1970, 1, 2), {}, bytearray(b"old")), (1001, "http://hot.example/", "revisit", None, datetime.datetime(9999, 1, 1), {}, None)]
+    got = {r["record_id"]: r["refers_to"] for r in warc.resolve(frame(spark, rows)).collect()}
+    assert got == {i: i - 1 for i in range(6, 400, 3)} | {3: 2, 1001: 398}
