@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES = 256
+SLICES = 64
 #: Ranges that are told apart first, then those within one.
-_STEP = 16
+_STEP = 8
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: WARC 1.0 and 1.1 name the profile with URIs that end alike.
 NOT_MODIFIED_END = "/revisit/server-not-modified"
