@@ -5,14 +5,20 @@ each merge rule ``a b`` then adds one *gadget*: the state that ``a`` leads to is
 copied without its arc ``b``, arcs labelled ``a`` go to the copy, and wherever
 ``a`` can be read an arc ``ab`` is added that leads where ``b`` led. After all
 merges, exactly one path spells any byte string, and it is the string's BPE
-tokenisation, so encoding is a walk over transitions and decoding emits the
-labels of the arcs.
+tokenisation; decoding emits the labels of the arcs.
+
+To read bytes, it is composed with the deterministic automaton of the tokens'
+spellings (a table of states by bytes, whose state says which tokens end here).
+Of those, exactly one continues the only path that spells what comes before it,
+as the arc table tells, so a word is one transition a byte, forwards and without
+a choice to take back, in time linear in its length; the path's labels are then
+read off from its end.
 
 Copies are persistent: a state is the chain of arcs that its gadgets cut, each
 with the time of its rule, and an arc added later is found through the arc that
 it grew from. Compiling is linear in the number of merges (50,000 merges take
-about a second), where tables of all states times all tokens would take 2.5
-billion cells. Transitions are computed when first taken and kept in a table.
+about two seconds), where tables of all states times all tokens would take 2.5
+billion cells. Arcs and rows of the byte table are made when first used and kept.
 
 Edge cases: a null text encodes as an empty one (no ids, decoded ``""``); strings
 of special tokens in a text become their ids, as the reference library has it;
@@ -39,8 +45,9 @@ from loomgraph.session import prepare
 
 #: GPT-2's pre-tokenisation.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose ids a worker keeps, and transitions; beyond this the tables start anew.
+#: Words whose ids a worker keeps (those of ``KEEP_BYTES`` at most), and arcs; beyond this the tables start anew.
 KEEP_WORDS = 800_000
+KEEP_BYTES = 64
 KEEP_ARCS = 2_000_000
 
 
@@ -85,20 +92,7 @@ class MergeAutomaton:
         for text, i in self.special.items():
             labels[i] = text.encode()
         self.labels = labels
-        # Nodes of the byte trie: 0 is the root, 1 + id spells the token id, the others come after.
-        self._tokens = size
-        self._next: dict[int, int] = {}
-        more, spelled = size, {token: i for token, i in vocab.items() if i in live}
-        for token, i in spelled.items():
-            node = 0
-            for k, byte in enumerate(token, 1):
-                key = node << 8 | byte
-                if key not in self._next:
-                    whole = spelled.get(token[:k])
-                    if whole is None:
-                        more += 1
-                    self._next[key] = more if whole is None else 1 + whole
-                node = self._next[key]
+        self._lexicon({token: i for token, i in vocab.items() if i in live})
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._words = regex.compile(SPLIT)
         self._known = _Known(self)
@@ -149,52 +143,84 @@ class MergeAutomaton:
             grown = born[token]
             token = left[token]
 
+    def _lexicon(self, spelled: dict[bytes, int]) -> None:
+        """The automaton of spellings: state 0 has read nothing of a token, others the longest beginning of one that ends here."""
+        children: list[dict[int, int]] = [{}]
+        own = [-1]
+        for token, i in spelled.items():
+            state = 0
+            for byte in token:
+                step = children[state]
+                if byte not in step:
+                    step[byte] = len(children)
+                    children.append({})
+                    own.append(-1)
+                state = step[byte]
+            own[state] = i
+        self._children = children
+        fail, order = [0] * len(children), [0]
+        for state in order:
+            for byte, child in children[state].items():
+                order.append(child)
+                if state:
+                    back = fail[state]
+                    while back and byte not in children[back]:
+                        back = fail[back]
+                    fail[child] = children[back].get(byte, 0)
+        self._fail = fail
+        #: Tokens that end in a state, longest first, as (length, id).
+        self._ends: list[tuple[tuple[int, int], ...]] = [()] * len(children)
+        size = [0] * len(children)
+        for state in order:
+            for child in children[state].values():
+                size[child] = size[state] + 1
+            if state:
+                self._ends[state] = (((size[state], own[state]),) if own[state] >= 0 else ()) + self._ends[fail[state]]
+        self._rows: list[array | None] = [None] * len(children)
+
+    def _row(self, state: int) -> array:
+        """A state's transitions by byte."""
+        todo = [state]
+        while todo:
+            at = todo[-1]
+            if self._rows[at] is None and at and self._rows[self._fail[at]] is None:
+                todo.append(self._fail[at])
+                continue
+            if self._rows[at] is None:
+                row = array("i", self._rows[self._fail[at]] if at else [0] * 256)
+                for byte, child in self._children[at].items():
+                    row[byte] = child
+                self._rows[at] = row
+            todo.pop()
+        return self._rows[state]
+
     def word(self, word: bytes) -> list[int]:
-        """Ids of one pre-split word: the only path that spells it.
-
-        The longest arc is taken first. As no second path spells a prefix, a
-        place from which the end was not reached is never entered again.
-        """
-        step, arc, tokens = self._next.get, self._arcs.get, self._tokens
-        n, pos, last = len(word), 0, -1
-        out: list[int] = []
-        starts: list[int] = []
-        ways: list[list[int]] = []
-        dead: set[int] = set()
-        while pos < n:
-            node, at, found = 0, pos, []
-            for byte in word[pos:] if pos else word:
-                node = step(node << 8 | byte)
-                if node is None:
+        """Ids of one pre-split word: the labels of the only path that spells it."""
+        rows, ends, arc, reads = self._rows, self._ends, self._arcs.get, self._reads
+        n, state = len(word), 0
+        # By place, the last token of the path up to there; -1 where none ends. The place before the word has none, either.
+        last = [-1] * (n + 1) if n < 1 << 16 else array("i", b"\xff" * (4 * (n + 1)))
+        for at, byte in enumerate(word, 1):
+            row = rows[state]
+            state = row[byte] if row is not None else self._row(state)[byte]
+            for size, token in ends[state]:
+                if size == at:
+                    last[at] = token
                     break
-                at += 1
-                if node <= tokens:
-                    found.append(at)
-                    found.append(node - 1)
-            while True:
-                while found:
-                    token = found.pop()
-                    end = found.pop()
-                    if end in dead:
-                        continue
-                    if last < 0:
-                        break
-                    allowed = arc(last << 32 | token)
-                    if allowed if allowed is not None else self._reads(last, token):
+                before = last[at - size]
+                if before >= 0:
+                    allowed = arc(before << 32 | token)
+                    if allowed if allowed is not None else reads(before, token):
+                        last[at] = token
                         break
-                else:
-                    if not ways:
-                        raise ValueError("the vocabulary cannot spell this word")
-                    dead.add(pos)
-                    found, pos = ways.pop(), starts.pop()
-                    out.pop()
-                    last = out[-1] if out else -1
-                    continue
-                break
-            ways.append(found)
-            starts.append(pos)
+        out, at, labels = [], n, self.labels
+        while at:
+            token = last[at]
+            if token < 0:
+                raise ValueError("the vocabulary cannot spell this word")
             out.append(token)
-            pos, last = end, token
+            at -= len(labels[token])
+        out.reverse()
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -202,8 +228,6 @@ class MergeAutomaton:
         if not text:
             return np.zeros(0, np.int32)
         known = self._known
-        if len(known) > KEEP_WORDS:
-            known.clear()
         if self._split is None or not any(s in text for s in self.special):
             return np.frombuffer(b"".join(map(known.__getitem__, self._words.findall(text))), np.int32)
         parts: list[bytes] = []
@@ -226,7 +250,12 @@ class _Known(dict):
         self._walk = automaton.word
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = array("i", self._walk(word.encode())).tobytes()
+        spelled = word.encode()
+        ids = array("i", self._walk(spelled)).tobytes()
+        if len(spelled) <= KEEP_BYTES:
+            if len(self) >= KEEP_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 

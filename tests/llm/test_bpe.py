@@ -64,3 +64,15 @@ def test_edges(edge_docs, no_docs, tokenizer_path, pair):
     assert bpe.encode(no_docs, tokenizer_path).count() == 0
     again = bpe.decode(bpe.encode(edge_docs.where("doc_id < 8"), tokenizer_path), tokenizer_path)
     assert all(r["decoded"] == (r["text"] or "") for r in again.collect())
+
+
+def test_one_long_word(pair):
+    """Letters without a break are walked once, whatever their number, and ids agree with the library's."""
+    automaton, library = pair
+    rnd = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "aab", "a", "éß漢"):
+        word = "".join(rnd.choices(letters, k=50_000))
+        assert list(automaton.encode(word)) == library.encode(word, add_special_tokens=False).ids
+    long = "".join(rnd.choices("abcdefghij", k=1_000_000))
+    assert automaton.decode(automaton.encode(long)).decode() == long
+    assert max(map(len, automaton._known)) <= bpe.KEEP_BYTES
