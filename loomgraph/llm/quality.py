@@ -7,8 +7,8 @@ corpus), and expectation-maximisation over the pattern counts estimates how
 often each labeller votes what for good and for bad documents. The posterior of
 a document's pattern is its soft label, and a logistic regression on hashed
 shapes of words and word pairs is fitted to the soft labels of ``SAMPLE``
-documents at most, those with the smallest hash of the id. Every document is
-scored by that model, from its whole text; those under ``THRESHOLD`` are
+documents at most, those with the smallest hash of the id (of repeated ids, one
+row; rows without an id are not fitted to). Every document is scored by that model, from its whole text; those under ``THRESHOLD`` are
 rejected. No true labels are used.
 
 Edge cases: null and blank texts have no words, get score 0 and are rejected;
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import linear
 from loomgraph.llm.columns import without
+from loomgraph.llm.sample import one_text_each, smallest_hashes
 from loomgraph.llm.textkernel import VALUES, VALUES_LOWER, Words, chunks, mix, window_owner
 from loomgraph.session import prepare
 
@@ -211,20 +212,20 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, m in _measured(batch, "text"):
+            for first, last, m in _measured(batch, "text"):
                 owner, place = m.features()
                 both, times = np.unique(owner << BITS | place, return_counts=True)
                 cut = np.searchsorted(both >> BITS, np.arange(len(m.n) + 1))
                 label = sent.value[(m.votes() + 1) @ _POWERS]
                 packed = [((both[a:b] & ((1 << BITS) - 1)).astype(np.uint16).tobytes(), (times[a:b] / (n + STEADY)).astype(np.float32).tobytes()) for a, b, n in zip(cut[:-1], cut[1:], m.n, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array([p for p, _ in packed], pa.binary()), pa.array([t for _, t in packed], pa.binary())], names=["soft", "places", "shares"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[first:last], pa.array(label), pa.array([p for p, _ in packed], pa.binary()), pa.array([t for _, t in packed], pa.binary())], names=["id", "soft", "places", "shares"])
 
     known = F.col(f"`{doc_id}`")
-    chosen = docs.select(known.cast("long").alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    chosen = smallest_hashes(docs.select(known.cast("long").alias("id")), sample)
     # The sample's ids are no more than its bound, so that side may be broadcast.
-    picked = docs.select(known.cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id", "left_semi").select("text")
-    # At most SAMPLE rows (more only where ids repeat) of a few hundred distinct word shapes.
-    found = [r for r in picked.mapInArrow(rows, "soft double, places binary, shares binary").limit(sample).collect() if r["places"]]
+    picked = one_text_each(docs.select(known.cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id", "left_semi"))
+    # At most SAMPLE rows of a few hundred distinct word shapes; in the order of ids, so that sums are the same however rows are laid out.
+    found = sorted((r for r in picked.mapInArrow(rows, "id long, soft double, places binary, shares binary").collect() if r["places"]), key=lambda r: r["id"])
     if not found:
         return Model(np.zeros(1 << BITS), 0.0, {}, good)
     sizes = np.array([len(r["places"]) // 2 for r in found])

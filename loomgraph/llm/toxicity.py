@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct character n-grams of 3 to 6 of a lower-cased text,
-hashed; one that occurs two or three times is a feature more each. Of labelled texts, counts of documents by feature and label give each
-feature's log-count ratio; the features that say most about the label (largest
+hashed; one that occurs two or three times is a feature more each. Of labelled
+texts, counts of documents by feature and label give each feature's log-count
+ratio; the features that say most about the label (largest
 log-likelihood ratio) are kept, their presence is scaled by the ratio, and a
 logistic regression is fitted to that. Scoring reads whole texts.
 
 It is fitted to ``SAMPLE`` labelled rows at most, those with the smallest hash
-of the id, so the model costs the same whatever the corpus; the ids of the
+of the id (of repeated ids, one row), so the model costs the same whatever the corpus; the ids of the
 sample and the model are what is broadcast, and their size is bounded by
 ``SAMPLE`` and ``FEATURES``.
 
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import linear
 from loomgraph.llm.columns import without
+from loomgraph.llm.sample import one_text_each, smallest_hashes
 from loomgraph.session import prepare, scratch
 
 ORDERS = (3, 4, 5, 6)
@@ -138,11 +140,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """A model of the labelled rows (``labels``: id and label) of ``docs``."""
     spark = prepare(docs.sparkSession)
     named = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = named.join(F.broadcast(smallest_hashes(named, sample)), "id", "left_semi")
     at = scratch(spark, "toxicity")
     # The sample's ids are no more than its bound, so that side may be broadcast.
-    picked = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")
-    picked.select("text", "label").repartition(8).write.parquet(at)
+    wanted = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    one_text_each(wanted).join(F.broadcast(chosen), "id").select("id", "text", "label").repartition(8).write.parquet(at)
     picked = spark.read.parquet(at)
     size = 1 << BITS
 
@@ -207,10 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                 cut = np.searchsorted(owner[order], np.arange(int(owner.max(initial=-1)) + 2))
                 for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     packed[first + k] = np.sort(number[order[i:j]]).astype(np.uint16).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "present"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(packed, pa.binary())], names=["id", "label", "present"])
 
     # At most SAMPLE rows of at most FEATURES two-byte numbers; a few hundred bytes each in practice.
-    rows_of = picked.select("text", "label").mapInArrow(rows_present, "label int, present binary").collect()
+    # They are put in the order of ids, so that sums are the same however rows are laid out.
+    rows_of = sorted(picked.select("id", "text", "label").mapInArrow(rows_present, "id long, label int, present binary").collect(), key=lambda r: r["id"])
     sets = [np.frombuffer(r["present"], np.uint16).astype(np.int64) - 1 for r in rows_of]
     target = np.array([r["label"] for r in rows_of], np.float64)
     sizes, column = np.array([len(s) for s in sets]), np.concatenate(sets)
