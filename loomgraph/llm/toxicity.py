@@ -114,6 +114,8 @@ class Model:
     slot: np.ndarray
     weight: np.ndarray
     bias: float
+    #: Log-count ratio by number; that of 0 is 0.
+    ratio: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rows = np.frombuffer(blocks[0]["rows"], np.int64) if blocks else np.zeros(2, np.int64)
     if not rows.all():
         share = (rows[1] + 0.5) / (rows.sum() + 1)
-        return Model(nothing, np.zeros(1), float(np.log(share / (1 - share))))
+        return Model(nothing, np.zeros(1), float(np.log(share / (1 - share))), np.zeros(1))
     # How much each feature's presence says about the label: the log-likelihood ratio of its two-by-two
     # table. Block by block, so that the driver holds two numbers for each hash place.
     term = lambda x, y: x * np.log(np.maximum(x, 1e-12) / np.maximum(y, 1e-12))
@@ -221,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     share = target.mean()
     weight = np.where(target == 1, np.sqrt((1 - share) / share), 1.0)
     w, b = linear.fit(sizes, column, scaled[column], target, weight, len(best), l2=1e-3)
-    return Model(slot, np.append(0.0, w * scaled), b)
+    return Model(slot, np.append(0.0, w * scaled), b, np.append(0.0, scaled))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:

@@ -1,6 +1,9 @@
+import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import toxicity
 
@@ -61,3 +64,73 @@ def test_edges(edge_docs, no_docs, model, spark):
     assert toxicity.score(edge_docs, toxicity.fit(edge_docs, nothing)).where("score = 0.5").count() == len(rows)
     one_sided = spark.createDataFrame([(5, 0), (6, 0)], "doc_id long, toxic int")
     assert toxicity.score(edge_docs, toxicity.fit(edge_docs, one_sided)).where("predicted = 1").count() == 0
+
+
+def test_ratios_and_fit_against_counting(spark):
+    """Kept features, log-count ratios and the fitted scores, computed once more from dictionaries of grams."""
+    rnd = random.Random(17)
+    docs = [(i, " ".join(rnd.choice(["calm", "words", "here", "lamp", "door", *(BAD if i % 4 == 0 else [])]) for _ in range(rnd.randrange(4, 20)))) for i in range(160)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    fitted = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    place_of = lambda gram: int(toxicity._places([gram])[1][-1])
+    seen, features = {}, {}
+    for i, t in docs:
+        padded, times = f" {t.lower()} ", {}
+        for q in toxicity.ORDERS:
+            for k in range(len(padded) - q + 1):
+                gram = padded[k : k + q]
+                times[gram] = times.get(gram, 0) + 1
+        by_place = {}
+        for gram, n in times.items():
+            p = seen.setdefault(gram, place_of(gram))
+            by_place[p] = by_place.get(p, 0) + n
+        features[i] = {(level, p) for p, n in by_place.items() for level in range(toxicity.LEVELS) if n > level}
+    rows, marks = [sum(1 for _, y in labels if y == k) for k in (0, 1)], dict(labels)
+    counts = {}
+    for i, fs in features.items():
+        for f in fs:
+            counts.setdefault(f, [0, 0])[marks[i]] += 1
+    total = [sum(c[k] for c in counts.values()) + toxicity.SMOOTHING * toxicity.LEVELS * (1 << toxicity.BITS) for k in (0, 1)]
+    ratio = {f: math.log((c[1] + 1) / total[1]) - math.log((c[0] + 1) / total[0]) for f, c in counts.items()}
+
+    def gain(c):
+        n, have, out = sum(rows), sum(c), 0.0
+        for k in (0, 1):
+            for x, whole in ((c[k], have), (rows[k] - c[k], n - have)):
+                out += x * math.log(x / (whole * rows[k] / n)) if x else 0.0
+        return out
+
+    kept = {f for f, c in counts.items() if sum(c) >= 3 and gain(c) >= toxicity.LEAST_GAIN}
+    mine = {(int(level), int(p)): int(fitted.slot[level, p]) for level, p in zip(*np.nonzero(fitted.slot), strict=True)}
+    assert set(mine) == kept and len(kept) > 50
+    assert all(abs(fitted.ratio[n] - ratio[f]) < 1e-4 for f, n in mine.items())
+    for i, t in docs[:40]:
+        score = fitted.bias + sum(fitted.weight[mine[f]] for f in features[i] & kept)
+        assert abs(fitted.scores([t])[0] - 1 / (1 + math.exp(-score))) < 1e-6
+    # The weights are where the penalised loss is flat.
+    x = np.array([[ratio[f] if f in features[i] else 0.0 for f in sorted(mine, key=mine.get)] for i, _ in docs])
+    y = np.array([marks[i] for i, _ in docs], float)
+    w = fitted.weight[1:] / fitted.ratio[1:]
+    share = y.mean()
+    c = np.where(y == 1, np.sqrt((1 - share) / share), 1.0)
+    slope = x.T @ (c * (1 / (1 + np.exp(-(x @ w + fitted.bias))) - y)) / c.sum() + 1e-3 * w
+    assert np.abs(slope).max() < 0.02
+
+
+def test_layout_of_rows_changes_no_score(spark, edge_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one, many = (toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (2, 11))
+    assert one.bias == many.bias and (one.weight == many.weight).all() and (one.slot == many.slot).all()
+
+
+def test_sample_is_the_smallest_hashes(spark, monkeypatch):
+    from loomgraph.llm import sample
+
+    ids = spark.range(5000).union(spark.range(100)).selectExpr("id").union(spark.sql("SELECT CAST(NULL AS long)"))
+    want = {r["id"] for r in spark.range(5000).orderBy(F.xxhash64("id")).limit(300).collect()}
+    for few in (10, 10**6):
+        monkeypatch.setattr(sample, "FEW", few)
+        assert {r["id"] for r in sample.smallest_hashes(ids, 300).collect()} == want
+    assert sample.smallest_hashes(ids.where("id < 5"), 300).count() == 5
