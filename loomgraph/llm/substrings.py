@@ -149,13 +149,13 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().view(np.uint64) if len(column) else _NONE
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, unit_bytes: int = UNIT_BYTES, bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, unit_bytes: int = UNIT_BYTES, bits: int = 64, added: tuple[str, str, str, str] = ("n_words", "n_removed", "removed", "kept")) -> DataFrame:
     """Adds ``n_words``, ``n_removed``, ``removed`` (word intervals, last one excluded) and ``kept`` (words joined by a space).
 
-    ``bits`` of the first hash are used; fewer than 64 only make it collide more often, as the tests do.
+    ``added`` names these columns otherwise. ``bits`` of the first hash are used; fewer than 64
+    only make it collide more often, as the tests do.
     """
-    added = ["n_words", "n_removed", "removed", "kept"]
-    docs = without(docs, added)
+    docs = without(docs, list(added))
     prepare(docs.sparkSession)
     unit = fresh(docs, "unit")
     units, parts = layout(docs.agg(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0, unit_bytes)
@@ -202,5 +202,5 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     shared = sent.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1").select("anchor", unit)
     asked = spread.groupBy(unit).cogroup(shared.groupBy(unit)).applyInArrow(ask, f"one long, two long, `{unit}` int, least long").repartition(parts, "one", "two")
     smaller = asked.withColumn("m", F.min("least").over(Window.partitionBy("one", "two"))).where("m < least").select("one", "two", unit)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPANS), T.StructField("kept", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(added, (T.LongType(), T.LongType(), SPANS, T.StringType()), strict=True)]])
     return spread.groupBy(unit).cogroup(smaller.groupBy(unit)).applyInArrow(apply, schema)

@@ -1,4 +1,4 @@
-import re
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from loomgraph.llm import decontam, substrings
@@ -41,8 +41,29 @@ def test_stages(spark):
 
 def test_whole_run_and_empty(spark, tmp_path):
     out = cp.run(spark, DIR)
-    assert out.count() > 0 and not re.search("AlreadyExists", str(out))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = out.collect()
+    assert out.columns == [*docs.columns, "ids", "n_tokens"] and len({r["doc_id"] for r in rows}) == len(rows) > 0
+    assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    again = {r["doc_id"]: r["text"] for r in rows}
+    assert {r["doc_id"]: r["text"] for r in cp.run(spark, DIR).collect()} == again
     empty = tmp_path / "t"
     spark.read.parquet(f"{DIR}/documents.parquet").limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.read.parquet(f"{DIR}/benchmark.parquet").write.parquet(str(empty / "benchmark.parquet"))
     assert cp.run(spark, str(empty)).count() == 0
+
+
+def test_odd_rows_pass_through_every_stage(spark, edge_docs):
+    """Null texts and ids, repeated rows, a long text and columns named like what stages add."""
+    docs = edge_docs.drop("n_tokens").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.char_length("text").cast("long")})
+    rows = docs.count()
+    for name, stage in cp.STAGES:
+        after = stage(spark, docs, DIR)
+        kept = after.count()
+        assert kept <= rows
+        if name != "bpe_encoding":
+            assert after.columns == docs.columns
+            assert after.where("__id = 'z' AND unit = 'z' AND matches = 'z'").count() == kept
+            assert stage(spark, docs.limit(0), DIR).count() == 0
+        else:
+            assert kept == rows and after.where("size(ids) <> n_tokens").count() == 0
