@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontam, minhash, quality, substrings
+from loomgraph.llm.columns import fresh
 from loomgraph.llm.queries import BYTE_BPE
 from loomgraph.session import scratch
 
@@ -20,7 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier accepts."""
-    return quality.score(docs, quality.fit(docs)).where("accepted").select(*docs.columns)
+    score, accepted = fresh(docs, "quality_score"), fresh(docs, "accepted")
+    return quality.score(docs, quality.fit(docs), quality=score, accepted=accepted).where(F.col(accepted)).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,28 +33,39 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     counts = docs.groupBy("doc_id").count()
     if counts.where("count > 1 OR doc_id IS NULL").isEmpty():
-        return minhash.near_duplicates(docs).where("kept").select(*docs.columns)
+        return docs.join(_heads(docs, "doc_id"), "doc_id", "left_semi").select(*docs.columns)
     again = counts.where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    heads = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("head"))
-    own = F.col("doc_id").isNotNull() & (F.col("head").isNull() | (F.xxhash64("text") == F.col("head")))
+    head, key = fresh(docs, "head"), fresh(docs, "key")
+    heads = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias(head))
+    own = F.col("doc_id").isNotNull() & (F.col(head).isNull() | (F.xxhash64("text") == F.col(head)))
     other = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.join(heads, "doc_id", "left").withColumn("key", F.when(own, F.col("doc_id")).otherwise(other)).drop("head").dropDuplicates(["key"])
+    keyed = docs.join(heads, "doc_id", "left").withColumn(key, F.when(own, F.col("doc_id")).otherwise(other)).drop(head).dropDuplicates([key])
     at = scratch(spark, "keyed")
     keyed.write.parquet(at)
-    return minhash.near_duplicates(spark.read.parquet(at), doc_id="key").where("kept").select(*docs.columns)
+    keyed = spark.read.parquet(at)
+    return keyed.join(_heads(keyed, key), key, "left_semi").select(*docs.columns)
+
+
+def _heads(docs: DataFrame, key: str) -> DataFrame:
+    """The ids that stay: the smallest of each group."""
+    return minhash.groups_of(docs, doc_id=key).where("id = component_id").select(F.col("id").alias(key))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that a smaller id has; untouched texts stay as they are, emptied ones go."""
-    found = substrings.remove_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    added = tuple(fresh(docs, c) for c in ("n_words", "n_removed", "removed", "kept"))
+    n_words, n_removed, kept = (F.col(added[k]) for k in (0, 1, 3))
+    found = substrings.remove_repeats(docs, added=added).where((n_removed == 0) | (n_removed < n_words))
+    text = F.when(n_removed == 0, F.col("text")).otherwise(kept)
+    chars = F.when(n_removed == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return found.withColumn("text", text).withColumn("n_chars", chars).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contaminated(docs, benchmark).where(F.size("matches") == 0).select(*docs.columns)
+    matches = fresh(docs, "matches")
+    return decontam.contaminated(docs, benchmark, matches=matches).where(F.size(matches) == 0).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
