@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.operators.network import running
+
 
 def lifetimes(frames: DataFrame, key: list[str], frame: str) -> DataFrame:
     """(key, birth, death): first frame, and one after the last; gaps are swallowed."""
@@ -47,9 +49,9 @@ def blend(values: DataFrame, key: str, frame: str, value: str, at: Column) -> Da
 def sample_even(rows: DataFrame, order: list[str], count: int) -> DataFrame:
     """Evenly spaced rows: places round(k / (count - 1) * (n - 1)), halves up, each once.
 
-    ``rows`` is a list of commits or the like, numbered in one order.
+    ``rows`` is a list of commits or the like; it is numbered range by range.
     """
-    numbered = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = running(rows.withColumn("_one", F.lit(1)), order, "_one", "place").withColumn("place", (F.col("place") - 1).cast("int")).drop("_one")
     n = rows.agg(F.count("*").alias("n"))
     wanted = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.floor(k / F.lit(max(count - 1, 1)) * (F.col("n") - 1) + 0.5).cast("int"))).alias("place")).distinct()
     return numbered.join(F.broadcast(wanted), "place")

@@ -42,9 +42,17 @@ def parse(text: Column) -> Column:
     return F.struct((group(1) == "!").alias("negated"), predicate.alias("predicate"), args.alias("args"), F.when(counted & (number != ""), number.cast("long")).alias("count"), fault.alias("fault"))
 
 
-def evaluate(claims: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, labels: DataFrame, doubts: DataFrame) -> DataFrame:
+def reach_pairs(claims: DataFrame) -> DataFrame:
+    """(a, b) that ``reaches`` claims ask about."""
+    asked = claims.select(parse(F.col("text")).alias("p")).where("p.predicate = 'reaches' AND p.fault IS NULL")
+    return asked.select(F.col("p.args")[0].alias("a"), F.col("p.args")[1].alias("b")).distinct()
+
+
+def evaluate(claims: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, labels: DataFrame, doubts: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Claims (``claim_no``, ``text``) with verdict, reason and what was observed.
 
+    ``held``: (a, b, holds) of the pairs in ``reach_pairs``, which only a walk can tell; those it lacks don't hold.
+
     ``doubts``: (path, syntactic, broken) says what is not known of a file. A claim of presence is
     doubted only where nothing was found, a count in either case, ``hasLabel`` never.
     """
@@ -64,13 +72,15 @@ def evaluate(claims: DataFrame, symbols: DataFrame, calls: DataFrame, refs: Data
     outside = asked.join(calls.select("to_id", F.col("path").alias("site")), "to_id").where(~F.col("site").startswith(F.col("dir"))).groupBy("claim_no").agg(F.count("*").alias("outside"))
     known = known.join(pairs, ["a", "b"], "left").join(named, ["a", "b", "kind"], "left").join(files, ["path_a", "path_b"], "left").join(marks, ["path_a", "b", "c"], "left").join(sources, "a", "left").join(makers, "a", "left").join(outside, "claim_no", "left")
     dark = lambda x: doubts.select(F.col("path").alias(f"path_{x}"), F.col("syntactic").alias(f"syntactic_{x}"), F.col("broken").alias(f"broken_{x}"))
+    walked = held.where("holds").select("a", "b", F.lit(True).alias("reached")).distinct() if held is not None else known.select("a", "b", F.lit(True).alias("reached")).limit(0)
+    known = known.join(walked, ["a", "b"], "left")
     known = known.join(dark("a"), "path_a", "left").join(dark("b"), "path_b", "left")
     predicate, yes = F.col("predicate"), lambda c: F.coalesce(F.col(c), F.lit(False))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     observed = F.when(predicate == "callers", zero("n_callers")).when(predicate == "implementations", zero("n_implementations")).when(predicate == "onlyCalledBy", zero("outside"))
-    present = F.when(predicate == "exists", F.col("path_a").isNotNull()).when(predicate == "calls", yes("called")).when(predicate.isin(*REFERENCE_KINDS), yes("referred")).when(predicate == "imports", yes("imported")).when(predicate == "hasLabel", yes("labelled")).when(predicate == "onlyCalledBy", F.col("observed") == 0).otherwise(F.col("observed") == F.col("count"))
+    present = F.when(predicate == "exists", F.col("path_a").isNotNull()).when(predicate == "calls", yes("called")).when(predicate == "reaches", yes("reached")).when(predicate.isin(*REFERENCE_KINDS), yes("referred")).when(predicate == "imports", yes("imported")).when(predicate == "hasLabel", yes("labelled")).when(predicate == "onlyCalledBy", F.col("observed") == 0).otherwise(F.col("observed") == F.col("count"))
     whole = predicate.isin(*COUNTS)
-    second = predicate.isin("calls", "imports", *REFERENCE_KINDS)
+    second = predicate.isin("calls", "reaches", "imports", *REFERENCE_KINDS)
     unresolved = F.when(predicate == "exists", F.col("path_a").isNull() & ~F.col("negated")).otherwise(F.col("path_a").isNull() | (second & F.col("path_b").isNull()))
     local = (F.col("durable_a") == F.lit(False)) | (second & (F.col("durable_b") == F.lit(False)))
     doubt = F.when(predicate != "hasLabel", F.when(yes("syntactic_a") | (second & yes("syntactic_b")), "syntactic").when(yes("broken_a") | (second & yes("broken_b")), "unresolved-specifier"))

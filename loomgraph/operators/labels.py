@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.lookup import winner
+from loomgraph.schema import ENUMS
 
 PRECEDENCE = ("user-config", "git-untracked", "generated-header", "codegen-path", "path-convention", "tsconfig-exclude", "default")
 
@@ -43,6 +44,24 @@ def scoped(rows: DataFrame, labels: DataFrame, path: str = "path", include: dict
     return rows.join(wide, path, "left").withColumn("in_scope", keep).drop("role", "authorship")
 
 
+AXES = {"role": ENUMS["role"], "authorship": ENUMS["authorship"]}
+
+
+def parse_filter(raw: str) -> tuple[str, str]:
+    """(axis, value) of ``axis=value``. Both lists are closed: a filter that is misspelt is refused, as it would match nothing."""
+    axis, _, value = raw.partition("=")
+    if axis not in AXES:
+        raise ValueError(f"expected an axis of {' or '.join(AXES)}, not {raw!r}")
+    if value not in AXES[axis]:
+        raise ValueError(f"expected {axis} to be one of {', '.join(AXES[axis])}, not {value!r}")
+    return axis, value
+
+
+def filters(given: dict[str, str] | list[str] | None) -> dict[str, str] | None:
+    """Filters as a checked dict, from a dict or from ``axis=value`` texts; None stays None, which means the default."""
+    return None if given is None else dict(parse_filter(x if isinstance(given, list) else f"{x}={given[x]}") for x in given)
+
+
 def disagreements(labels: DataFrame) -> DataFrame:
     """(node, axis) on which signals other than the default name more than one value."""
     found = labels.where("derivation <> 'default'").groupBy("node", "axis").agg(F.array_sort(F.collect_set("value")).alias("all"))

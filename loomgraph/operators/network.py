@@ -12,6 +12,19 @@ from pyspark.sql.window import Window
 from loomgraph.session import checkpoint
 
 
+def running(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the running sum of a column, the row's own value included, over a total order of rows.
+
+    Rows are sorted in ranges, each of which adds up its own; what comes before a range is added from one row per
+    range. Partitions of the sorted rows stay as they are between the two, as they are written in between.
+    """
+    placed = checkpoint(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    totals = placed.groupBy("_range").agg(F.sum(value).alias("_t"))  # one row for each range
+    before = totals.select("_range", F.coalesce(F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(name, own).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def merged(links: DataFrame, imports: DataFrame) -> DataFrame:
     """(a, b, n): calls and resolved imports together, without self-loops."""
     more = imports.where("to_path IS NOT NULL").select(F.col("from_path").alias("a"), F.col("to_path").alias("b"), "n")
@@ -28,11 +41,11 @@ def fans(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def rank_normalise(df: DataFrame, column: str, score: str = "score") -> DataFrame:
     """Tie-averaged rank from 0 to 1, 0.5 for a single row.
 
-    Ranks come from counts of distinct values, not from one window over all rows: the values'
-    counts are added up over a sorted table that is as long as there are values.
+    Ranks come from counts of distinct values. These are cut into ranges by ``running``, so no task holds
+    them all.
     """
     counts = df.groupBy(column).agg(F.count("*").alias("c"))
-    below = counts.withColumn("r", F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)))
+    below = running(counts, [column], "c", "r").withColumn("r", F.col("r") - F.col("c"))
     total = df.agg(F.count("*").alias("n"))
     placed = below.join(F.broadcast(total), how="inner")
     value = F.when(F.col("n") <= 1, F.lit(0.5)).otherwise((2 * F.coalesce("r", F.lit(0)) + F.col("c") - 1) / 2 / (F.col("n") - 1))
@@ -75,6 +88,60 @@ def file_trace(links: DataFrame, roots: DataFrame, near: str, far: str, hops: in
     return out
 
 
+#: Roots, links of one file and hop, and edges of a trace, at most: an answer is one picture.
+MOST_ROOTS, MOST_FAN, MOST_EDGES = 60, 24, 1600
+
+
+def bounded_trace(links: DataFrame, roots: DataFrame, hops: int, direction: str = "out", fan: int = MOST_FAN, budget: int = MOST_EDGES) -> DataFrame:
+    """(flow, hop, a, b, n, slot): edges of the shortest-path graphs out of roots (flow 1), into them (-1), or both.
+
+    ``roots``: (path, pos), ranked; the first ``MOST_ROOTS`` count. Of each file the ``fan`` heaviest links are
+    followed; edges are taken in the order of their near ends, then of weight, up to the budget, half of it each
+    way for both. Frontiers are as small as the budget, so nothing but ``links`` is large. ``slot`` is when an edge
+    shows: callers first, nearest last, then callees.
+    """
+    both = direction == "both"
+    lead = 0 if direction == "out" else hops
+    out = None
+    for flow, near, far in ((-1, "b", "a"), (1, "a", "b")):
+        if direction == ("out" if flow < 0 else "in"):
+            continue
+        slot = F.lit(lead) - F.col("hop") if flow < 0 else F.lit(lead - 1) + F.col("hop")
+        part = _one_way(links, roots, near, far, hops, fan, budget // 2 if both else budget)
+        part = part.select(F.lit(flow).alias("flow"), "hop", "a", "b", "n", slot.alias("slot"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _one_way(links: DataFrame, roots: DataFrame, near: str, far: str, hops: int, fan: int, left: int) -> DataFrame:
+    frontier = checkpoint(roots.orderBy("pos", "path").limit(MOST_ROOTS).select("path", F.col("pos").cast("long").alias("pos")))
+    seen, out = frontier.select("path"), None
+    for hop in range(1, hops + 1):
+        # A frontier has at most as many files as there are roots, or edges in the budget.
+        near_end = F.broadcast(frontier.select(F.col("path").alias(near), "pos"))
+        heaviest = Window.partitionBy(near).orderBy(F.desc("n"), far)
+        ranked = links.join(near_end, near).withColumn("k", F.row_number().over(heaviest)).where(F.col("k") <= fan)
+        new = ranked.join(F.broadcast(seen.withColumnRenamed("path", far)), far, "left_anti")
+        kept = checkpoint(new.orderBy("pos", "k").limit(max(left, 0)).select("a", "b", "n", F.lit(hop).alias("hop"), "pos", "k"))
+        out = kept if out is None else out.union(kept)
+        left -= kept.count()
+        if left <= 0 or hop == hops:
+            break
+        first = kept.groupBy(F.col(far).alias("path")).agg(F.min(F.struct("pos", "k")).alias("at"))
+        frontier = checkpoint(first.select("path", (F.col("at.pos") * (fan + 1) + F.col("at.k")).alias("pos")))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier.select("path"))
+    return out
+
+
+def hop_of(traced: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, hop): hops from the roots, whichever way is nearer; 0 for roots, -1 for what the trace doesn't touch."""
+    ends = traced.select(F.when(F.col("flow") > 0, F.col("b")).otherwise(F.col("a")).alias("path"), "hop").union(roots.select("path", F.lit(0)))
+    nearest = ends.groupBy("path").agg(F.min("hop").alias("hop"))
+    return files.select("path").join(nearest, "path", "left").select("path", F.coalesce("hop", F.lit(-1)).alias("hop"))
+
+
 def label_propagation(links: DataFrame, regions: DataFrame, rounds: int = 12) -> DataFrame:
     """(path, region, community) by asynchronous label propagation within each region.
 

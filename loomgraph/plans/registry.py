@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Facts], Data
     return register
 
 
-from loomgraph.plans import atlas, benchmark, claims, files, graph, labels, lookups, maintenance, text  # noqa: E402, F401
+from loomgraph.plans import atlas, benchmark, claims, files, graph, labels, lookups, maintenance, text, upkeep  # noqa: E402, F401

@@ -45,3 +45,16 @@ def test_llm_is_not_needed():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"(from|import) loomgraph\.llm", p.read_text()), p
+
+
+def test_entry_without_what_the_corpus_operators_import():
+    """Where a package that they need is missing, the graph queries are still there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.modules['tiktoken'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLE))]
