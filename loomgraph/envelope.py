@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = 5
+#: Rows that a reader is shown if no limit is given.
+HUMAN_LIMIT = 20
 
 
 @dataclass
@@ -23,7 +25,10 @@ class Envelope:
     excluded: DataFrame | None = None
     limit: int | None = None
     error: str | None = None
-    negative: bool = False
+    #: Further tables of the answer, by name.
+    parts: dict[str, DataFrame] = field(default_factory=dict)
+    #: One row with the number of findings that a caller asked to fail on.
+    failing: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
 
     def budget(self) -> dict:
@@ -36,7 +41,20 @@ class Envelope:
 
     def exit_code(self) -> int:
         """0 answered, 1 a negative finding, 2 could not answer."""
-        return 2 if self.error else int(self.negative)
+        if self.error:
+            return 2
+        return int(self.failing is not None and (self.failing.first()[0] or 0) > 0)
+
+    def to_text(self, limit: int = HUMAN_LIMIT) -> str:
+        """The answer for a reader: rows up to a limit, and how many there are beyond it."""
+        if self.error:
+            return f"{self.operation}: {self.error}"
+        cut = limit if self.limit is None else min(limit, self.limit)
+        rows = self.result.limit(cut + 1).collect() if self.result is not None else []
+        lines = ["\t".join("" if v is None else str(v) for v in r) for r in rows[:cut]]
+        if len(rows) > cut:
+            lines.append(f"and {self.result.count() - cut} more")
+        return "\n".join(lines)
 
     def to_json(self) -> str:
         """The whole answer as text; only for results that a reader asked to have in one piece."""

@@ -101,9 +101,19 @@ def reaches(edges: DataFrame, pairs: DataFrame, depth: int, broadcast_edges: int
     return asked.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("holds"))
 
 
-def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+class TooManyPaths(Exception):
+    """A walk has more live paths than its caller allows; nothing is cut silently."""
+
+
+#: Live paths of one level, at most.
+MOST_PATHS = 100_000_000
+
+
+def paths(edges: DataFrame, roots: DataFrame, depth: int, most: int = MOST_PATHS) -> DataFrame:
     """(path, terminus) of all simple paths from roots (``id``) over distinct (src, dst).
 
+    Paths may grow in number with every step; where a level has more than ``most``, ``TooManyPaths`` says so.
+
     A step back onto the path is kept and ends it as ``cycle``; a node without edges ends it as
     ``leaf``, at the bound too; one with edges at the bound as ``depth``.
     """
@@ -127,7 +137,10 @@ def paths(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         step = checkpoint(going.join(out_edges.withColumnRenamed("src", "tail"), "tail").select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("tail"), F.array_contains("path", F.col("dst")).alias("back")))
         put(step.where("back"), "cycle")
         live = step.where("NOT back").drop("back")
-        if live.isEmpty():
+        n = live.count()
+        if n > most:
+            raise TooManyPaths(f"{n} paths of {d + 1} steps, {most} allowed: ask for a smaller depth or scope")
+        if not n:
             break
     return ended.orderBy("path")
 

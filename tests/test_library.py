@@ -51,7 +51,10 @@ def test_operations(store):
     report = ops.file("b.ts").result.first()
     assert (report["imports"], report["broken"], report["symbols"], report["projects"]) == (2, 1, 1, "tsconfig.json")
     changed = store.file.where("path = 'src/a.ts'")
-    assert [(r["id"], r["depth"]) for r in ops.impact(changed).result.collect()] == [("alpha", 0), ("inner", 0), ("beta", 1), ("src/b.ts", 1)]
+    assert [(r["id"], r["depth"]) for r in Operations(store, include={}).impact(changed).result.collect()] == [("alpha", 0), ("inner", 0), ("beta", 1), ("src/b.ts", 1)]
+    # Like other answers, an impact keeps to its scope: symbols of the generated file are counted, not listed.
+    scoped = ops.impact(changed)
+    assert [r["id"] for r in scoped.result.collect()] == ["beta", "src/b.ts"] and scoped.excluded.first()[0] == 2
     assert {r["kind"] for r in Operations(store, include={}).evidence("alpha").result.collect()} == {"declaration", "callers", "callees", "references"}
     assert {r["what"]: r["n"] for r in ops.analyse().result.collect()} == {"projects": 1, "files": 2, "symbols": 3, "calls": 3, "unresolved": 0}
     assert ops.doctor().result.first()["remediable"]
