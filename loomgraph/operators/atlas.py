@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.operators.network import running
+from loomgraph.session import checkpoint
 
 
 def lifetimes(frames: DataFrame, key: list[str], frame: str) -> DataFrame:
@@ -69,6 +70,14 @@ def duplicated(groups: DataFrame) -> DataFrame:
 
 
 def clone_links(groups: DataFrame, most: int) -> DataFrame:
-    """(a, b, lines): neighbours in each group's sorted documents, so a group of n gives n - 1 links."""
-    nxt = F.lead("doc").over(Window.partitionBy("h").orderBy("doc"))
-    return groups.select("doc", nxt.alias("b")).where("b IS NOT NULL").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("lines")).orderBy(F.desc("lines"), "a", "b").limit(most)
+    """(a, b, lines): neighbours in each group's sorted documents, so a group of n gives n - 1 links.
+
+    Groups are sorted in ranges, so a line that all documents have is spread over tasks; where a range ends within
+    a group, the next range's first document of that group is the neighbour.
+    """
+    placed = checkpoint(groups.select("h", "doc").orderBy("h", "doc").withColumn("_range", F.spark_partition_id()))
+    firsts = placed.groupBy("h", "_range").agg(F.min("doc").alias("first"))
+    after = firsts.select("h", "_range", F.lead("first").over(Window.partitionBy("h").orderBy("_range")).alias("after")).where("after IS NOT NULL")
+    near = F.lead("doc").over(Window.partitionBy("_range", "h").orderBy("doc"))
+    pairs = placed.select("h", "_range", "doc", near.alias("near")).join(after, ["h", "_range"], "left")
+    return pairs.select("doc", F.coalesce("near", "after").alias("b")).where("b IS NOT NULL").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("lines")).orderBy(F.desc("lines"), "a", "b").limit(most)

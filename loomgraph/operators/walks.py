@@ -26,6 +26,8 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if d % 6 == 0:  # one table again, so that a deep walk doesn't read as many as it has levels
+            visited = checkpoint(visited.coalesce(max(frontier.rdd.getNumPartitions(), 1)))
     return visited
 
 
@@ -47,6 +49,8 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if d % 6 == 0:
+            visited = checkpoint(visited.coalesce(max(frontier.rdd.getNumPartitions(), 1)))
     return visited.drop("trail")
 
 

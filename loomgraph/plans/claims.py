@@ -120,7 +120,11 @@ def _(f: Facts) -> DataFrame:
     return C.from_facts(f.symbol, f.call_edge, f.reference_edge, f.file_import).join(owners, "owner", "left_semi").groupBy("claim").agg(F.min("owner").alias("section"))
 
 
-@query("draft_markdown")
+@query(
+    "draft_markdown",
+    f"""SELECT owner, path, count(*) AS claims, '## ' || name || chr(10) || chr(10) || 'Declared in `' || path || '`.' || chr(10) || chr(10) || string_agg('<!-- claim: ' || claim || ' -->', chr(10) ORDER BY claim) || chr(10) AS markdown
+FROM ({_FACT_CLAIMS}) q JOIN symbol ON id = owner AND symbol.kind = 'class' GROUP BY owner, path, name""",
+)
 def _(f: Facts) -> DataFrame:
     facts = C.from_facts(f.symbol, f.call_edge, f.reference_edge, f.file_import).join(f.symbol.where("kind = 'class'").select(F.col("id").alias("owner"), "name", "path"), "owner")
     lines = facts.groupBy("owner", "name", "path").agg(F.array_sort(F.collect_list("claim")).alias("claims"))

@@ -260,3 +260,18 @@ def test_communities_paths_and_folders(spark):
     assert [r["path"] for r in network.dependency_paths(chain, weight).collect()][0] == "a>b>c>d"
     paths = spark.createDataFrame([(f"apps/{d}/f{i}.ts",) for d, n in (("web", 40), ("api", 30), ("cli", 25)) for i in range(n)] + [("README.ts",)], "path string")
     assert [(r["prefix"], r["n"]) for r in network.subsystems(paths).collect()] == [("apps/web", 40), ("apps/api", 30), ("apps/cli", 25)]
+
+
+def test_clone_links_of_a_line_that_all_have(spark):
+    from loomgraph.operators import atlas
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = [f"d{i:03d}" for i in range(300)]
+        groups = spark.createDataFrame([("hot", d, 1) for d in docs] + [("cold", d, 1) for d in docs[:3]] + [("lone", "d001", 2)], "h string, doc string, n long")
+        got = {(r["a"], r["b"]): r["lines"] for r in atlas.clone_links(groups, 1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = dict.fromkeys(zip(docs[:-1], docs[1:], strict=True), 1)
+    want |= {(docs[0], docs[1]): 2, (docs[1], docs[2]): 2}
+    assert got == want
