@@ -54,7 +54,7 @@ _DIFF = "'diff --git a/x b/x' || chr(10) || '--- a/x' || chr(10) || '+++ b/' ||
 
 @query("parse_diff", "SELECT event_id AS doc, CAST(1 AS BIGINT) AS file_no, event_type || '.ts' AS path, CAST(1 AS BIGINT) AS hunk, 2 AS added, 1 AS removed FROM events UNION ALL SELECT event_id, 1, event_type || '.ts', 2, 0, 1 FROM events UNION ALL SELECT event_id, 2, 'y.ts', 1, event_id % 5, 0 FROM events WHERE event_id % 5 > 0".replace("2 AS added, 1 AS removed", "CAST(2 AS BIGINT) AS added, CAST(1 AS BIGINT) AS removed"))
 def _(f: Facts) -> DataFrame:
-    return S.unified_diff(S.lines_of(f.events.selectExpr("event_id", f"{_DIFF} AS diff"), "event_id", "diff"))
+    return S.unified_diff(f.events.selectExpr("event_id", f"{_DIFF} AS diff"), "event_id", "diff")
 
 
 @query("doc_sections")

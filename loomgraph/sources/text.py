@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.session import prepare
+
 
 def lines_of(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, pos, line): the lines of each text, from 0."""
@@ -36,17 +38,47 @@ def git_log(lines: DataFrame) -> DataFrame:
     return found.select("doc", "pos", "path", F.regexp_extract("h", head, 1).cast("long").alias("at"), F.regexp_extract("h", head, 2).alias("author"), number(1).alias("added"), number(2).alias("deleted"))
 
 
-def unified_diff(lines: DataFrame) -> DataFrame:
-    """(doc, file_no, path, hunk, added, removed) per hunk of unified diffs."""
-    along = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.col("line").startswith("diff --git ")
-    numbered = lines.withColumn("file_no", F.sum(starts.cast("int")).over(along)).where("file_no > 0")
-    within = Window.partitionBy("doc", "file_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1)
-    hunk = F.col("line").startswith("@@ ")
-    placed = numbered.withColumn("path", F.last(F.when(F.col("line").startswith("+++ "), name), ignorenulls=True).over(within)).withColumn("hunk", F.sum(hunk.cast("int")).over(within))
-    body = placed.where((F.col("hunk") > 0) & ~hunk)
-    return body.groupBy("doc", "file_no", "path", "hunk").agg(F.count_if(F.col("line").startswith("+")).alias("added"), F.count_if(F.col("line").startswith("-")).alias("removed"))
+def unified_diff(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, file_no, path, hunk, added, removed) per hunk of unified diffs, one text a row.
+
+    A text is read where it lies, line by line, so nothing is shuffled and a task holds one batch of texts.
+    """
+    prepare(df.sparkSession)
+    kind = df.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What ends a line for ``.`` and ``$`` of the JVM's regular expressions.
+        named = re.compile("\\+\\+\\+ (?:b/)?([^\r\x85\u2028\u2029]*)[\r\x85\u2028\u2029]?\\Z")
+        for batch in batches:
+            docs, rows = [], []
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                file_no, path, hunk = 0, None, 0
+                found: dict[tuple, list[int]] = {}
+                for line in (whole or "").split("\n"):
+                    if line.startswith("diff --git "):
+                        file_no, path, hunk = file_no + 1, None, 0
+                        continue
+                    if not file_no:
+                        continue
+                    if line.startswith("@@ "):
+                        hunk += 1
+                        continue
+                    if line.startswith("+++ "):
+                        name = named.match(line)
+                        path = name[1] if name else ""
+                    if hunk:
+                        count = found.setdefault((file_no, path, hunk), [0, 0])
+                        if line.startswith("+"):
+                            count[0] += 1
+                        elif line.startswith("-"):
+                            count[1] += 1
+                docs += [i] * len(found)
+                rows += [(*key, *count) for key, count in found.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "file_no", "path", "hunk", "added", "removed"])
+
+    return df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, file_no long, path string, hunk long, added long, removed long")
 
 
 _LABEL = r"\[[^\]]*\]"
