@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.bindings import Facts
 from loomgraph.functions.text import canonical_map, squeezed
-from loomgraph.operators import claims, files, network, upkeep, walks
-from loomgraph.plans.files import _LINKS
+from loomgraph.operators import claims, network, upkeep, walks
+from loomgraph.plans.files import _LINKS, file_links
 from loomgraph.plans.registry import query
 from loomgraph.sources import records
 
@@ -159,7 +159,7 @@ _BOTH = f"WITH l AS (SELECT a, b, n FROM ({_LINKS}) x WHERE a <> b), f0 AS ({_TO
 
 
 def _traced(f: Facts) -> tuple[DataFrame, DataFrame]:
-    links = files.file_edges(f.call_edge, f.symbol).where("a <> b")
+    links = file_links(f).where("a <> b")
     top = links.groupBy(F.col("a").alias("path")).agg(F.sum("n").alias("w")).orderBy(F.desc("w"), "path").limit(3)
     numbered = network.running(top.select("path", "w", F.lit(1).alias("one"), (-F.col("w")).alias("down")), ["down", "path"], "one", "pos")
     roots = numbered.select("path", (F.col("pos") - 1).alias("pos"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans.registry import ORACLE, QUERIES
+from loomgraph.plans.registry import QUERIES
 from loomgraph.sources import text as S
 
 DIR = "/root/testdata/sf0.001"
@@ -18,3 +18,40 @@ def test_diffs_are_read_where_they_lie(spark):
     df = S.unified_diff(spark.createDataFrame([(7, diff), (7, "diff --git x\n@@ \n-x"), (8, None), (9, "")], "k long, t string"), "k", "t")
     assert "Exchange" not in plan(df)
     assert sorted(map(tuple, df.collect()), key=repr) == sorted([(7, 1, None, 1, 1, 0), (7, 1, "x.ts", 1, 1, 1), (7, 2, "y.ts", 1, 0, 0), (7, 2, "", 1, 1, 1), (7, 1, None, 1, 0, 1)], key=repr)
+
+
+def test_file_links_are_built_once(spark):
+    for name in ("file_calls", "file_call_totals", "file_trace", "file_hops", "paths_of", "most_called", "label_propagation"):
+        assert "facts-file_links" in plan(QUERIES[name](spark, DIR)) or name in ("file_trace", "file_hops"), name
+    assert "facts-call_edge" not in plan(QUERIES["paths_of"](spark, DIR))
+
+
+def test_exchanges_of_file_edges_have_parts(spark):
+    from loomgraph.operators import files
+
+    calls = spark.createDataFrame([("x", "y"), ("x", "y"), ("y", "x"), ("x", "x")], "from_id string, to_id string")
+    df = files.file_edges(calls, spark.createDataFrame([("x", "f"), ("y", "g")], "id string, path string"))
+    assert plan(df).count("REPARTITION_BY_NUM") == 3
+    assert sorted(map(tuple, df.collect())) == [("f", "f", 1), ("f", "g", 2), ("g", "f", 1)]
+
+
+def test_imports_by_number(spark, tmp_path):
+    """Counted by file numbers where those are unique, as SQL has it where they are not."""
+    import os
+
+    from loomgraph.bindings import facts, with_bindings
+
+    for name, twice in (("once", False), ("twice", True)):
+        at = tmp_path / name
+        at.mkdir()
+        c = duckdb.connect()
+        for t in ("supplier", "nation", "region", "lineitem", "part"):
+            os.symlink(f"{DIR}/{t}.parquet", at / f"{t}.parquet")
+        if twice:
+            os.unlink(at / "supplier.parquet")
+            c.execute(f"COPY (SELECT * FROM '{DIR}/supplier.parquet' UNION ALL SELECT * REPLACE ((s_nationkey + 1) % 25 AS s_nationkey) FROM '{DIR}/supplier.parquet' WHERE s_suppkey < 3) TO '{at}/supplier.parquet'")
+        for t in ("supplier", "nation", "lineitem"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+        want = c.execute(with_bindings("SELECT from_path, specifier, to_path, n FROM file_import")).fetchall()
+        got = [tuple(r) for r in facts(spark, str(at)).file_import.select("from_path", "specifier", "to_path", "n").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr), name
