@@ -7,6 +7,8 @@ level. No neighbourhood or frontier is gathered on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.session import checkpoint
+from loomgraph.operators.network import running
+from loomgraph.session import checkpoint, parts, sent, settled, spread, stored
 
 
 def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -76,33 +79,47 @@ def _reaches_from_broadcast(hops: DataFrame, asked: DataFrame, depth: int) -> Da
                 break
         return pa.table([table.column("a"), table.column("b"), pa.array([b not in left for b in wanted])], names=["a", "b", "holds"])
 
-    return asked.groupBy("a").applyInArrow(search, "a string, b string, holds boolean")
+    return asked.groupBy("a").applyInArrow(search, f"a {asked.schema['a'].dataType.simpleString()}, b {asked.schema['b'].dataType.simpleString()}, holds boolean")
 
 
 def reaches(edges: DataFrame, pairs: DataFrame, depth: int, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(a, b, holds): whether b is reached from a by one hop or more, for all pairs at once.
 
     ``reaches(x, x)`` holds only through a cycle. A graph of ``broadcast_edges`` edges at most is
-    sent to the workers; a larger one is walked by joins, with frontiers that carry their start. Every few levels what
-    was seen is written as one table, and starts whose pairs are all settled leave the walk.
+    sent to the workers; a larger one is walked by joins. Starts are numbered and go in groups of 64, a bit for each,
+    so a node is met once a group and level however many of its starts come by. Edges are laid out by their
+    sources once. Every few levels starts whose pairs are all settled leave the walk.
     """
-    hops = checkpoint(edges.select(F.col("src").alias("id"), "dst").distinct())
-    asked = checkpoint(pairs.select("a", "b").distinct())
+    pairs = pairs.select("a", "b").distinct()
+    hops = checkpoint(spread(edges.select(F.col("src").alias("id"), "dst"), "id").distinct())
+    asked = checkpoint(pairs)
     if hops.count() <= broadcast_edges:
         return _reaches_from_broadcast(hops, asked, depth)
-    frontier = checkpoint(asked.select("a", F.col("a").alias("id")).distinct())
-    seen = frontier.limit(0)
+    numbered = running(asked.select("a").distinct().withColumn("one", F.lit(1).cast("long")), ["a"], "one", "k")
+    starts = checkpoint(numbered.select("a", F.expr("(k - 1) DIV 64").alias("g"), F.expr("shiftleft(1L, CAST((k - 1) % 64 AS INT))").alias("m")))
+    live = starts.select(F.col("a").alias("id"), "g", "m")
+    seen = live.limit(0)
     for d in range(1, depth + 1):
-        frontier = checkpoint(frontier.join(hops, "id").select("a", F.col("dst").alias("id")).distinct().join(seen, ["a", "id"], "left_anti"))
-        if frontier.isEmpty():
+        # The frontier is hashed, and the edges, which lie by source, pass it unsorted.
+        step = hops.join(live.hint("shuffle_hash"), "id").groupBy(F.col("dst").alias("id"), "g").agg(F.bit_or("m").alias("m"))
+        before = seen.groupBy("id", "g").agg(F.bit_or("m").alias("old"))
+        new = step.join(before, ["id", "g"], "left").select("id", "g", F.expr("m & ~coalesce(old, 0L)").alias("m"))
+        live = checkpoint(new.where("m <> 0"))
+        if live.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = seen.union(live)
         if d % 6 == 0:
-            seen = checkpoint(seen.coalesce(max(frontier.rdd.getNumPartitions(), 1)))
-            left = asked.join(seen.withColumnRenamed("id", "b"), ["a", "b"], "left_anti").select("a").distinct()
-            frontier = checkpoint(frontier.join(left, "a", "left_semi"))
-    hit = seen.select("a", F.col("id").alias("b"), F.lit(True).alias("hit"))
-    return asked.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("hit", F.lit(False)).alias("holds"))
+            seen = checkpoint(seen.groupBy("id", "g").agg(F.bit_or("m").alias("m")))
+            left = _held(asked, starts, seen).where("NOT holds").select("g", "bit").groupBy("g").agg(F.bit_or("bit").alias("left"))
+            live = checkpoint(live.join(left, "g").select("id", "g", F.expr("m & left").alias("m")).where("m <> 0"))
+    return _held(asked, starts, seen).select("a", "b", "holds")
+
+
+def _held(asked: DataFrame, starts: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs with the bit of their start, and whether what was seen at their end has it."""
+    met = seen.groupBy(F.col("id").alias("b"), "g").agg(F.bit_or("m").alias("met"))
+    bits = asked.join(starts.withColumnRenamed("m", "bit"), "a")
+    return bits.join(met, ["b", "g"], "left").select("a", "b", "g", "bit", F.expr("coalesce(met, 0L) & bit <> 0").alias("holds"))
 
 
 class TooManyPaths(Exception):

@@ -20,6 +20,28 @@ def test_diffs_are_read_where_they_lie(spark):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted([(7, 1, None, 1, 1, 0), (7, 1, "x.ts", 1, 1, 1), (7, 2, "y.ts", 1, 0, 0), (7, 2, "", 1, 1, 1), (7, 1, None, 1, 0, 1)], key=repr)
 
 
+def drawn(n, m, seed):
+    import random
+
+    r = random.Random(seed)
+    return [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)]
+
+
+def closure(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    reached = {}
+    for v in {x for e in edges for x in e}:
+        todo, seen = list(near.get(v, ())), set()
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += near.get(x, ())
+        reached[v] = seen
+    return reached
+
+
 def test_file_links_are_built_once(spark):
     for name in ("file_calls", "file_call_totals", "file_trace", "file_hops", "paths_of", "most_called", "label_propagation"):
         assert "facts-file_links" in plan(QUERIES[name](spark, DIR)) or name in ("file_trace", "file_hops"), name
@@ -55,3 +77,21 @@ def test_imports_by_number(spark, tmp_path):
         want = c.execute(with_bindings("SELECT from_path, specifier, to_path, n FROM file_import")).fetchall()
         got = [tuple(r) for r in facts(spark, str(at)).file_import.select("from_path", "specifier", "to_path", "n").collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr), name
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reaches_by_bits(spark, seed):
+    """More starts than a group has, over sparse graphs with long ways: numbers as well as names."""
+    from loomgraph.operators import walks
+
+    edges = [*drawn(150, 170, seed), *((f"n{i}", f"n{i + 1}") for i in range(200, 220))]
+    reached = closure(edges)
+    pairs = [(a, b) for k, a in enumerate(sorted(reached)) for b in sorted(reached)[k % 3 :: 3]]
+    pairs.append(("n200", "n220"))
+    want = {(a, b): b in reached[a] for a, b in pairs}
+    e, p = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "a string, b string")
+    assert {(r["a"], r["b"]): r["holds"] for r in walks.reaches(e, p, 100, 0).collect()} == want
+    number = lambda df: df.selectExpr(*[f"CAST(substring({c}, 2) AS BIGINT) AS {c}" for c in df.columns])
+    for bound in (0, 1000):
+        got = {(f"n{r['a']}", f"n{r['b']}"): r["holds"] for r in walks.reaches(number(e), number(p), 100, bound).collect()}
+        assert got == want
