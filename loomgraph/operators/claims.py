@@ -6,10 +6,13 @@ Faults and unresolved subjects are rows with a reason, never errors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import labels as L
+from loomgraph.session import sent
 
 _NAME = "([A-Za-z][0-9A-Za-z]*)"
 _ARGUMENTS = r"\(([^)]*)\)"
@@ -48,32 +51,52 @@ def reach_pairs(claims: DataFrame) -> DataFrame:
     return asked.select(F.col("p.args")[0].alias("a"), F.col("p.args")[1].alias("b")).distinct()
 
 
-def evaluate(claims: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, labels: DataFrame, doubts: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def _imported(known: DataFrame, imports: DataFrame) -> DataFrame:
+    """Imports that claims ask about: where those are few, the others are left out before they are moved."""
+    asked = sent(known.where("predicate = 'imports'").select(F.col("path_a").alias("from_path"), F.col("path_b").alias("to_path")).distinct())
+    found = imports.where("to_path IS NOT NULL").join(asked, ["from_path", "to_path"], "left_semi")
+    return found.select(F.col("from_path").alias("path_a"), F.col("to_path").alias("path_b"), F.lit(True).alias("imported")).distinct()
+
+
+def _outside(known: DataFrame, calls: DataFrame) -> DataFrame:
+    """(claim_no, outside): call sites that ``onlyCalledBy`` doesn't allow."""
+    asked = known.where("predicate = 'onlyCalledBy'").select("claim_no", F.col("a").alias("to_id"), F.concat(F.regexp_replace("b", "/$", ""), F.lit("/")).alias("dir"))
+    sites = asked.join(calls.select("to_id", F.col("path").alias("site")), "to_id").where(~F.col("site").startswith(F.col("dir")))
+    return sites.groupBy("claim_no").agg(F.count("*").alias("outside"))
+
+
+def evaluate(claims: DataFrame, symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, labels: DataFrame, doubts: DataFrame, held: DataFrame | None = None, predicates: tuple[str, ...] | None = None) -> DataFrame:
     """Claims (``claim_no``, ``text``) with verdict, reason and what was observed.
 
     ``held``: (a, b, holds) of the pairs in ``reach_pairs``, which only a walk can tell; those it lacks don't hold.
 
     ``doubts``: (path, syntactic, broken) says what is not known of a file. A claim of presence is
     doubted only where nothing was found, a count in either case, ``hasLabel`` never.
+
+    ``predicates``: the claims that are asked for, all by default; no other facts than theirs are read.
     """
     parsed = claims.withColumn("p", parse(F.col("text"))).select("claim_no", "text", "p.*").withColumns({"a": F.get("args", F.lit(0)), "b": F.get("args", F.lit(1)), "c": F.get("args", F.lit(2))})
+    if predicates is not None:
+        parsed = parsed.where(F.col("predicate").isin(*predicates))
+    asks = lambda *names: predicates is None or any(n in predicates for n in names)
     side = lambda x: symbols.select(F.col("id").alias(x), F.col("path").alias(f"path_{x}"), F.col("durable").alias(f"durable_{x}"))
-    known = parsed.join(side("a"), "a", "left").join(side("b"), "b", "left")
     flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
-    pairs = flag(calls.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), "called")
     kind = F.create_map(*[F.lit(x) for kv in REFERENCE_KINDS.items() for x in kv])
-    known = known.withColumn("kind", F.coalesce(kind[F.col("predicate")], F.lit("")))
-    named = flag(refs.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind"), "referred")
-    files = flag(imports.where("to_path IS NOT NULL").select(F.col("from_path").alias("path_a"), F.col("to_path").alias("path_b")), "imported")
-    marks = L.effective(labels).select(F.col("node").alias("path_a"), F.col("axis").alias("b"), F.col("value").alias("c"), F.lit(True).alias("labelled"))
-    sources = calls.groupBy(F.col("to_id").alias("a")).agg(F.count_distinct("from_id").alias("n_callers"))
-    makers = refs.where("kind = 'implements'").groupBy(F.col("to_id").alias("a")).agg(F.count_distinct("from_id").alias("n_implementations"))
-    asked = known.where("predicate = 'onlyCalledBy'").select("claim_no", F.col("a").alias("to_id"), F.concat(F.regexp_replace("b", "/$", ""), F.lit("/")).alias("dir"))
-    outside = asked.join(calls.select("to_id", F.col("path").alias("site")), "to_id").where(~F.col("site").startswith(F.col("dir"))).groupBy("claim_no").agg(F.count("*").alias("outside"))
-    known = known.join(pairs, ["a", "b"], "left").join(named, ["a", "b", "kind"], "left").join(files, ["path_a", "path_b"], "left").join(marks, ["path_a", "b", "c"], "left").join(sources, "a", "left").join(makers, "a", "left").join(outside, "claim_no", "left")
-    dark = lambda x: doubts.select(F.col("path").alias(f"path_{x}"), F.col("syntactic").alias(f"syntactic_{x}"), F.col("broken").alias(f"broken_{x}"))
-    walked = held.where("holds").select("a", "b", F.lit(True).alias("reached")).distinct() if held is not None else known.select("a", "b", F.lit(True).alias("reached")).limit(0)
-    known = known.join(walked, ["a", "b"], "left")
+    known = parsed.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("kind", F.coalesce(kind[F.col("predicate")], F.lit("")))
+
+    def add(wanted: bool, found: Callable[[], DataFrame], on: list[str], column: str, null: str) -> None:
+        nonlocal known
+        known = known.join(found(), on, "left") if wanted else known.withColumn(column, F.lit(None).cast(null))
+
+    add(asks("calls"), lambda: flag(calls.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), "called"), ["a", "b"], "called", "boolean")
+    add(asks(*REFERENCE_KINDS), lambda: flag(refs.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind"), "referred"), ["a", "b", "kind"], "referred", "boolean")
+    add(asks("imports"), lambda: _imported(known, imports), ["path_a", "path_b"], "imported", "boolean")
+    add(asks("hasLabel"), lambda: L.effective(labels).select(F.col("node").alias("path_a"), F.col("axis").alias("b"), F.col("value").alias("c"), F.lit(True).alias("labelled")), ["path_a", "b", "c"], "labelled", "boolean")
+    add(asks("callers"), lambda: calls.groupBy(F.col("to_id").alias("a")).agg(F.count_distinct("from_id").alias("n_callers")), ["a"], "n_callers", "long")
+    add(asks("implementations"), lambda: refs.where("kind = 'implements'").groupBy(F.col("to_id").alias("a")).agg(F.count_distinct("from_id").alias("n_implementations")), ["a"], "n_implementations", "long")
+    add(asks("onlyCalledBy"), lambda: _outside(known, calls), ["claim_no"], "outside", "long")
+    add(held is not None, lambda: held.where("holds").select("a", "b", F.lit(True).alias("reached")).distinct(), ["a", "b"], "reached", "boolean")
+    dark = lambda x: sent(doubts.select(F.col("path").alias(f"path_{x}"), F.col("syntactic").alias(f"syntactic_{x}"), F.col("broken").alias(f"broken_{x}")))
     known = known.join(dark("a"), "path_a", "left").join(dark("b"), "path_b", "left")
     predicate, yes = F.col("predicate"), lambda c: F.coalesce(F.col(c), F.lit(False))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
@@ -109,19 +132,24 @@ def document_verdicts(sections: DataFrame) -> DataFrame:
     return sections.groupBy("doc").agg(F.min_by("verdict", rank).alias("verdict"), F.count_if(F.col("claims") > 0).alias("covered"), F.count("*").alias("sections"))
 
 
-def from_facts(symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame) -> DataFrame:
-    """(owner, claim) that facts support; edges attributed to files and ends that don't last are left out, repeated claims once."""
+def from_facts(symbols: DataFrame, calls: DataFrame, refs: DataFrame, imports: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """(owner, claim) that facts support; edges attributed to files and ends that don't last are left out, repeated claims once.
+
+    ``owners`` (``owner``): those asked for, all by default. Facts of others are left out before they are moved.
+    """
     lasting = symbols.where("durable").select("id")
     ends = lambda df: df.join(lasting.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(lasting.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    asked = None if owners is None else sent(owners.select("owner").distinct())
+    of = lambda df, c: df if asked is None else df.join(asked.withColumnRenamed("owner", c), c, "left_semi")
     verb = F.when(F.col("kind") == "typeReferences", "usesType").otherwise(F.col("kind"))
-    parts = [
-        lasting.select(F.col("id").alias("owner"), F.format_string("exists(%s)", "id").alias("claim")),
-        ends(calls.where("attribution <> 'file'").select("from_id", "to_id").distinct()).select("from_id", F.format_string("calls(%s, %s)", "from_id", "to_id")),
-        ends(refs.select("from_id", "to_id", "kind").distinct()).select("from_id", F.format_string("%s(%s, %s)", verb, "from_id", "to_id")),
-        imports.where("to_path IS NOT NULL").select("from_path", F.format_string("imports(%s, %s)", "from_path", "to_path")),
+    found = [
+        of(lasting, "id").select(F.col("id").alias("owner"), F.format_string("exists(%s)", "id").alias("claim")),
+        ends(of(calls.where("attribution <> 'file'"), "from_id").select("from_id", "to_id").distinct()).select("from_id", F.format_string("calls(%s, %s)", "from_id", "to_id")),
+        ends(of(refs, "from_id").select("from_id", "to_id", "kind").distinct()).select("from_id", F.format_string("%s(%s, %s)", verb, "from_id", "to_id")),
+        of(imports.where("to_path IS NOT NULL"), "from_path").select("from_path", F.format_string("imports(%s, %s)", "from_path", "to_path")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = found[0]
+    for p in found[1:]:
         out = out.union(p)
     return out.distinct()
 

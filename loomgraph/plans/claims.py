@@ -36,16 +36,16 @@ SELECT claim_no, doc, section, text, predicate, negated, CASE WHEN fault IS NOT
 CASE WHEN fault IS NOT NULL THEN fault WHEN lost THEN 'unresolved' WHEN doubted THEN doubt WHEN holds THEN 'holds' WHEN whole THEN 'count-differs' ELSE 'falsified' END AS reason, CASE WHEN fault IS NULL THEN seen END AS observed, fault IS NOT NULL AS faulty FROM v"""
 
 
-def _evaluated(f: Facts) -> DataFrame:
+def _evaluated(f: Facts, *predicates: str) -> DataFrame:
     broken = f.unresolved_specifier.where("cause = 'broken'").select("path").distinct().withColumn("broken", F.lit(True))
     doubts = f.file.select("path", (F.col("n_key") % 4 == 1).alias("syntactic")).join(broken, "path", "left").fillna(False, ["broken"])
-    return C.evaluate(f.claim, f.symbol, f.call_edge, f.reference_edge, f.file_import, f.label, doubts)
+    return C.evaluate(f.claim, f.symbol, f.call_edge, f.reference_edge, f.file_import, f.label, doubts, predicates=predicates or None)
 
 
 def _family(name: str, *predicates: str) -> None:
     listed = ", ".join(f"'{p}'" for p in predicates)
     query(name, f"SELECT claim_no, negated, verdict, reason, observed FROM ({_EVAL}) z WHERE predicate IN ({listed}) AND NOT faulty")(
-        lambda f: _evaluated(f).where(F.col("predicate").isin(*predicates) & ~F.col("faulty")).select("claim_no", "negated", "verdict", "reason", "observed").orderBy("claim_no")
+        lambda f: _evaluated(f, *predicates).where(~F.col("faulty")).select("claim_no", "negated", "verdict", "reason", "observed").orderBy("claim_no")
     )
 
 
@@ -117,7 +117,7 @@ def _(f: Facts) -> DataFrame:
 def _(f: Facts) -> DataFrame:
     name = f.part.where("p_partkey = 11").select(F.col("p_name").alias("name"))
     owners = f.symbol.join(F.broadcast(name), "name", "left_semi").select(F.col("id").alias("owner"))
-    return C.from_facts(f.symbol, f.call_edge, f.reference_edge, f.file_import).join(owners, "owner", "left_semi").groupBy("claim").agg(F.min("owner").alias("section"))
+    return C.from_facts(f.symbol, f.call_edge, f.reference_edge, f.file_import, owners).groupBy("claim").agg(F.min("owner").alias("section"))
 
 
 @query(
@@ -126,7 +126,8 @@ def _(f: Facts) -> DataFrame:
 FROM ({_FACT_CLAIMS}) q JOIN symbol ON id = owner AND symbol.kind = 'class' GROUP BY owner, path, name""",
 )
 def _(f: Facts) -> DataFrame:
-    facts = C.from_facts(f.symbol, f.call_edge, f.reference_edge, f.file_import).join(f.symbol.where("kind = 'class'").select(F.col("id").alias("owner"), "name", "path"), "owner")
+    owners = f.symbol.where("kind = 'class'").select(F.col("id").alias("owner"), "name", "path")
+    facts = C.from_facts(f.symbol, f.call_edge, f.reference_edge, f.file_import, owners).join(owners, "owner")
     lines = facts.groupBy("owner", "name", "path").agg(F.array_sort(F.collect_list("claim")).alias("claims"))
     body = F.concat(F.lit("## "), "name", F.lit("\n\nDeclared in `"), "path", F.lit("`.\n\n"), F.array_join(F.transform("claims", lambda c: F.concat(F.lit("<!-- claim: "), c, F.lit(" -->"))), "\n"), F.lit("\n"))
     return lines.select("owner", "path", F.size("claims").cast("long").alias("claims"), body.alias("markdown")).orderBy("path", "owner")

@@ -132,7 +132,7 @@ def _(f: Facts) -> DataFrame:
     turned = f.sparse_edge.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
     pairs = claims.reach_pairs(asked).select(F.col("b").alias("a"), F.col("a").alias("b"))
     held = walks.reaches(turned, pairs, 1000).select(F.col("b").alias("a"), F.col("a").alias("b"), "holds")
-    found = claims.evaluate(asked, f.symbol, f.call_edge, f.reference_edge, f.file_import, f.label, doubts, held)
+    found = claims.evaluate(asked, f.symbol, f.call_edge, f.reference_edge, f.file_import, f.label, doubts, held, ("reaches",))
     return found.select("claim_no", "text", "verdict", "reason").orderBy("claim_no")
 
 

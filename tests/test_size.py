@@ -57,6 +57,26 @@ def test_exchanges_of_file_edges_have_parts(spark):
     assert sorted(map(tuple, df.collect())) == [("f", "f", 1), ("f", "g", 2), ("g", "f", 1)]
 
 
+def test_claims_read_the_facts_of_their_family(spark):
+    assert "facts-call_edge" not in plan(QUERIES["claim_imports"](spark, DIR))
+    refs = plan(QUERIES["claim_refs"](spark, DIR))
+    assert "facts-call_edge" not in refs and "facts-file_import" not in refs
+    verdicts = plan(QUERIES["claim_reaches_verdict"](spark, DIR))
+    assert "facts-reference_edge" not in verdicts and "facts-file_import" not in verdicts
+
+
+def test_facts_of_some_owners(spark):
+    from loomgraph.operators import claims
+
+    symbols = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "id string, durable boolean")
+    calls = spark.createDataFrame([("x", "y", "symbol"), ("y", "x", "symbol"), ("x", "z", "symbol"), ("x", "x", "file")], "from_id string, to_id string, attribution string")
+    refs = spark.createDataFrame([("x", "y", "typeReferences"), ("y", "x", "extends")], "from_id string, to_id string, kind string")
+    imports = spark.createDataFrame([("f", "g"), ("x", "g"), ("x", None)], "from_path string, to_path string")
+    owners = spark.createDataFrame([("x",), ("z",), ("x",)], "owner string")
+    got = sorted(map(tuple, claims.from_facts(symbols, calls, refs, imports, owners).collect()))
+    assert got == [("x", "calls(x, y)"), ("x", "exists(x)"), ("x", "imports(x, g)"), ("x", "usesType(x, y)")]
+
+
 def test_imports_by_number(spark, tmp_path):
     """Counted by file numbers where those are unique, as SQL has it where they are not."""
     import os
