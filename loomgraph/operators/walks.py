@@ -186,17 +186,62 @@ def _pagerank_in_one_task(links: DataFrame, nodes: DataFrame, rounds: int, dampi
     return rows.groupBy(F.lit(1).alias("one")).applyInArrow(iterate, "id string, rank double")
 
 
-def pagerank(links: DataFrame, nodes: DataFrame, rounds: int = 40, damping: float = 0.85, small: int = BROADCAST_EDGES) -> DataFrame:
+#: Nodes, counted, up to which all ranks are sent to each worker in a round: 32 MB.
+SENT_RANKS = 4_000_000
+
+
+def _pagerank_by_ranges(links: DataFrame, nodes: DataFrame, n: int, rounds: int, damping: float) -> DataFrame:
+    """The same with links spread by their far ends: a round sends the ranks, 8 bytes a node, and each task adds up its own nodes.
+
+    Links are numbers and lie as columns, so a round reads 16 bytes of each at most and moves none.
+    """
+    spark = links.sparkSession
+    numbered = checkpoint(running(nodes.select("id", F.lit(1).cast("long").alias("one")), ["id"], "one", "k").select("id", (F.col("k") - 1).cast("int").alias("k")))
+    number = lambda c: sent(numbered.select(F.col("id").alias(c), F.col("k").alias(f"k{c}")))
+    near = links.join(number("a"), "a").join(number("b"), "b").select("ka", "kb", "n")
+    out = numbered.join(near.groupBy(F.col("ka").alias("k")).agg(F.sum("n").alias("out")), "k", "left").select("k", "out").toArrow()
+    weight = np.zeros(n)
+    weight[out.column("k").to_numpy()] = out.column("out").to_pandas().fillna(0).to_numpy()
+    placed = stored(near.repartition(parts(links), "kb").select("ka", "kb", F.col("n").cast("double").alias("n")), "ranked-links")
+    dangling, rank = weight == 0, np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast(np.divide(rank, weight, out=np.zeros(n), where=~dangling))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            into = np.zeros(n)
+            for batch in batches:
+                a, b, w = (c.to_numpy() for c in batch.columns)
+                np.add.at(into, b, held.value[a] * w)
+            at = np.flatnonzero(into)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(into[at])], names=["k", "into"])
+
+        got = placed.mapInArrow(add, "k long, into double").toArrow()
+        into = np.bincount(got.column("k").to_numpy(), weights=got.column("into").to_numpy(), minlength=n)
+        rank = (1 - damping) / n + damping * (into + rank[dangling].sum() / n)
+        held.unpersist()
+    ranks = spark.sparkContext.broadcast(rank)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranks.value[batch.column(1).to_numpy()])], names=["id", "rank"])
+
+    return numbered.mapInArrow(named, f"id {nodes.schema['id'].dataType.simpleString()}, rank double")
+
+
+def pagerank(links: DataFrame, nodes: DataFrame, rounds: int = 40, damping: float = 0.85, small: int = BROADCAST_EDGES, ranks: int = SENT_RANKS) -> DataFrame:
     """(id, rank) by weight-proportional PageRank; what dangling nodes hold is spread evenly. ``links``: (a, b, n).
 
-    Up to ``small`` links and nodes, which are counted, one task iterates; beyond that each round is a join.
+    Up to ``small`` links and nodes, which are counted, one task iterates; up to ``ranks`` nodes a round sends all ranks
+    to the links; beyond that each round is a join.
     """
-    links = checkpoint(links.select("a", "b", "n"))
-    if links.count() <= small and nodes.count() <= small:
+    links = settled(links.select("a", "b", "n"), "links")
+    n = nodes.count()
+    if links.count() <= small and n <= small:
         return _pagerank_in_one_task(links, nodes, rounds, damping)
+    if n <= ranks:
+        return _pagerank_by_ranges(links, nodes, n, rounds, damping)
     total = F.sum("n").over(Window.partitionBy("a"))
     share = checkpoint(links.withColumn("w", F.col("n") / total).select(F.col("a").alias("id"), "b", "w"))
-    n = nodes.count()
     base = checkpoint(nodes.join(share.select("id").distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("dangling")))
     rank = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
     spread = not base.where("dangling").isEmpty()

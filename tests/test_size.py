@@ -115,3 +115,13 @@ def test_reaches_by_bits(spark, seed):
     for bound in (0, 1000):
         got = {(f"n{r['a']}", f"n{r['b']}"): r["holds"] for r in walks.reaches(number(e), number(p), 100, bound).collect()}
         assert got == want
+
+
+def test_pagerank_by_ranges(spark):
+    from loomgraph.operators import walks
+
+    edges = sorted({e for e in drawn(60, 150, 4) if e[0] != e[1]})
+    links = spark.createDataFrame([(a, b, i % 5 + 1) for i, (a, b) in enumerate(edges)], "a string, b string, n long")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(60)], "id string")
+    one, ranges, joins = ({r["id"]: r["rank"] for r in walks.pagerank(links, nodes, small=s, ranks=k).collect()} for s, k in ((1000, 0), (0, 1000), (0, 0)))
+    assert one == pytest.approx(ranges, abs=1e-12) and one == pytest.approx(joins, abs=1e-12)
