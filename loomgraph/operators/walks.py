@@ -269,32 +269,53 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
     Each round drops nodes without an edge on one side, spreads the smallest id forwards to a
     fixpoint, and takes as a component what reaches its colour's root backwards within the colour.
+    Edges lie by source and by target, so a level moves nodes and what they send, not the edges, and
+    only nodes that changed send.
     """
-    left = checkpoint(edges.where("src <> dst").select("src", "dst").distinct())
+    n = parts(edges)
+    fwd = checkpoint(edges.where("src <> dst").select("src", "dst").repartition(n, "src").distinct())
+    bwd = checkpoint(fwd.repartition(n, "dst"))
     done: DataFrame | None = None
+
+    def without(gone: DataFrame, how: str) -> None:
+        """Keeps edges whose ends are both (``left_semi``) or neither (``left_anti``) among the nodes ``id``."""
+        nonlocal fwd, bwd
+        at = lambda c: gone.select(F.col("id").alias(c)).hint("shuffle_hash")
+        fwd = checkpoint(bwd.join(at("dst"), "dst", how).repartition(n, "src").join(at("src"), "src", how).select("src", "dst"))
+        bwd = checkpoint(fwd.repartition(n, "dst"))
+
     for _ in range(rounds):
         while True:  # trimming
-            n = left.count()
-            kept = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-            left = checkpoint(kept)
-            if left.count() == n:
+            sources, targets = fwd.select(F.col("src").alias("id")).distinct(), bwd.select(F.col("dst").alias("id")).distinct()
+            alive = checkpoint(sources.join(targets, "id", "left_semi"))
+            if alive.count() == sources.count() == targets.count():
                 break
-        if left.isEmpty():
+            without(alive, "left_semi")
+        if fwd.isEmpty():
             break
-        colour = checkpoint(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("c", F.col("id")))
+        # All nodes that are left have edges both ways.
+        colour = checkpoint(alive.repartition(n, "id").withColumn("c", F.col("id")))
+        moved = colour
+        while True:
+            into = fwd.join(moved.select(F.col("id").alias("src"), "c").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+            new = checkpoint(colour.join(into.repartition(n, "id"), "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
+            colour, moved = new.select("id", "c"), new.where("moved").select("id", "c")
+            if moved.isEmpty():
+                break
+        found = frontier = checkpoint(colour.where("id = c"))
+        depth = 0
         while True:
-            into = left.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            new = checkpoint(colour.join(into, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
-            changed = not new.where("moved").isEmpty()
-            colour = new.select("id", "c")
-            if not changed:
+            depth += 1
+            sources = bwd.join(frontier.select(F.col("id").alias("dst"), "c").hint("shuffle_hash"), "dst").select(F.col("src").alias("id"), "c").distinct()
+            frontier = checkpoint(colour.join(sources, ["id", "c"], "left_semi").join(found.select("id"), "id", "left_anti"))
+            if frontier.isEmpty():
                 break
-        same = left.join(colour.select(F.col("id").alias("src"), "c"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst").where("c = d")
-        back = checkpoint(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = levels(back, colour.where("id = c").select("id"), 1_000_000).select("id").join(colour, "id")
-        found = checkpoint(found)
+            found = found.union(frontier)
+            if depth % 6 == 0:
+                found = checkpoint(found.coalesce(n))
+        found = checkpoint(found.coalesce(n))
         done = found if done is None else done.union(found)
-        left = checkpoint(left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        without(found, "left_anti")
     if done is None:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     size = F.count("*").over(Window.partitionBy("c"))

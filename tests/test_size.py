@@ -117,6 +117,17 @@ def test_reaches_by_bits(spark, seed):
         assert got == want
 
 
+def test_strong_components_of_drawn_graphs(spark):
+    from loomgraph.operators import walks
+
+    edges = drawn(120, 150, 3)
+    reached = closure(edges)
+    alike = {v: sorted(w for w in reached if w in reached[v] and v in reached[w]) for v in reached}
+    want = {v: (g[0], len(g)) for v, g in alike.items() if len(g) > 1}
+    df = walks.strong_components(spark.createDataFrame(edges, "src string, dst string"))
+    assert {r["id"]: (r["component"], r["size"]) for r in df.collect()} == want
+
+
 def test_pagerank_by_ranges(spark):
     from loomgraph.operators import walks
 
