@@ -99,6 +99,17 @@ def test_imports_by_number(spark, tmp_path):
         assert sorted(got, key=repr) == sorted(want, key=repr), name
 
 
+def test_settled(spark):
+    """A frame that costs work is written before it is asked again, one of files is not."""
+    from loomgraph.session import settled
+
+    files = spark.read.parquet(f"{DIR}/part.parquet")
+    plain = files.where("p_size > 1").select("p_name")
+    assert settled(plain, "x") is plain
+    counted = settled(files.groupBy("p_name").count(), "x")
+    assert "Aggregate" not in plan(counted) and counted.count() == files.select("p_name").distinct().count()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_reaches_by_bits(spark, seed):
     """More starts than a group has, over sparse graphs with long ways: numbers as well as names."""
