@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.operators.lookup import first_by
-from loomgraph.session import checkpoint
+from loomgraph.session import checkpoint, sent, settled
 
 
 def drift(indexed: DataFrame, walked: DataFrame, seen: DataFrame) -> DataFrame:
@@ -59,11 +59,12 @@ def joined_hash(parts: Column, separator: str = "|") -> Column:
 
 def wave(imports: DataFrame, seed: DataFrame, reshaped: Callable[[DataFrame], DataFrame], most: int = 8) -> DataFrame:
     """(path, wave): files to extract again. Importers follow of files whose export shape moved, up to ``most`` waves."""
-    imports = checkpoint(imports.select("from_path", "to_path").distinct())
+    imports = settled(imports.select("from_path", "to_path"), "imports")
     visited = pending = checkpoint(seed.select("path").distinct().withColumn("wave", F.lit(0)))
     for w in range(1, most + 1):
-        moved = reshaped(pending.select("path"))
-        users = imports.join(moved.select(F.col("path").alias("to_path")), "to_path", "left_semi").select(F.col("from_path").alias("path")).distinct()
+        # The files that moved are sent to the imports where they are few, so that no wave moves all imports.
+        moved = sent(checkpoint(reshaped(pending.select("path")).select(F.col("path").alias("to_path")).distinct()))
+        users = imports.join(moved, "to_path", "left_semi").select(F.col("from_path").alias("path")).distinct()
         pending = checkpoint(users.join(visited.select("path"), "path", "left_anti").withColumn("wave", F.lit(w)))
         if pending.isEmpty():
             break
