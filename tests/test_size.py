@@ -110,6 +110,15 @@ def test_settled(spark):
     assert "Aggregate" not in plan(counted) and counted.count() == files.select("p_name").distinct().count()
 
 
+def test_mutual(spark):
+    from loomgraph.operators import atlas
+
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "c"), ("d", "d"), ("e", "f"), ("f", "e")], "a string, b string")
+    df = atlas.mutual(links)
+    assert "Join" not in plan(df)
+    assert sorted(r["path"] for r in df.collect()) == ["a", "b", "e", "f"]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_reaches_by_bits(spark, seed):
     """More starts than a group has, over sparse graphs with long ways: numbers as well as names."""
