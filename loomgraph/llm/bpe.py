@@ -40,6 +40,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from loomgraph.llm import worker
 from loomgraph.llm.columns import without
 from loomgraph.session import prepare
 
@@ -281,7 +282,7 @@ class Labels:
         return b"".join(parts)
 
 
-_COMPILED: dict[str, MergeAutomaton] = {}
+_COMPILED: dict[str, MergeAutomaton] = worker.kept()
 
 
 def compiled(raw: str) -> MergeAutomaton:
@@ -311,6 +312,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(n_tokens, T.LongType(), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start(_COMPILED)
         automaton = compiled(tokenizer.value)
         for batch in batches:
             found = [automaton.encode(x) for x in batch.column(text).to_pylist()]
@@ -334,6 +336,7 @@ def decode(df: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start(_COMPILED)
         automaton = compiled(tokenizer.value)
         for batch in batches:
             out = [automaton.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomgraph.llm import worker
 from loomgraph.llm.columns import fresh, without
 from loomgraph.llm.textkernel import WORD_BASE, _powers, mix
 from loomgraph.session import prepare, scratch
@@ -297,6 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
         sent = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.start()
             for batch in batches:
                 found: list[_FOUND] = [{} for _ in range(batch.num_rows)]
                 _search([normal(x) for x in batch.column(text).to_pylist()], sent.value, found)
@@ -310,6 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
     def searcher(sent: Any) -> Any:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.start()
             for batch in batches:
                 found: list[_FOUND] = [{} for _ in range(batch.num_rows)]
                 _search([normal(x) for x in batch.column(2).to_pylist()], sent.value, found)

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import worker
 from loomgraph.llm.columns import fresh, without
 from loomgraph.llm.components import components
 from loomgraph.llm.textkernel import VALUES_LOWER, VALUES_LOWER_AGAIN, WORD_BASE, WORD_BASE_AGAIN, Words, chunks, mix, window_hashes, window_owner
@@ -118,6 +119,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, width: int, bands: int, row
     names = ["id", "n_shingles", "s1", "s2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(1)):
                 hashes, counts, second = shingles(data, offsets, width, again=True)
@@ -150,6 +152,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(heads.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         head, known = None, None
         for batch in batches:
             common, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -179,6 +182,7 @@ def leftover_pairs(left: DataFrame, texts: DataFrame, width: int, percent: int)
     shift = np.uint64(64 - (PLACES.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         seen = np.zeros(PLACES, np.int64)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
@@ -193,6 +197,7 @@ def leftover_pairs(left: DataFrame, texts: DataFrame, width: int, percent: int)
     sent = spark.sparkContext.broadcast(often)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column(2)):
                 hashes, counts, _ = shingles(data, offsets, width)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm import linear
+from loomgraph.llm import linear, worker
 from loomgraph.llm.columns import without
 from loomgraph.llm.sample import one_text_each, smallest_hashes
 from loomgraph.llm.textkernel import VALUES, VALUES_LOWER, Words, chunks, mix, window_owner
@@ -150,6 +150,7 @@ def vote_patterns(docs: DataFrame, text: str) -> DataFrame:
     """(pattern, n): how many documents have each combination of votes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         counts = np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
             for _, _, m in _measured(batch, "text"):
@@ -211,6 +212,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample:
     sent = spark.sparkContext.broadcast(soft)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         for batch in batches:
             for first, last, m in _measured(batch, "text"):
                 owner, place = m.features()
@@ -244,6 +246,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
     schema = T.StructType([*docs.schema.fields, T.StructField(quality, T.DoubleType()), T.StructField(accepted, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start()
         for batch in batches:
             found, words = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for first, last, m in _measured(batch, text):

@@ -23,6 +23,9 @@ hash that a third of all documents share is one row for each unit; the two
 windows over such rows sort and spill. Partitions hold many units, and their
 number is bounded by ``PARTITION_BYTES`` of text each.
 
+A unit groups its windows in slices of ``SLICE`` of the first hash, so a worker
+holds two hashes and two numbers for each window and the temporaries of one slice.
+
 Windows are told apart by two independent 64-bit hashes; among n windows one is
 taken for another with probability n / 2**128.
 
@@ -47,6 +50,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from loomgraph.llm import worker
 from loomgraph.llm.columns import fresh, without
 from loomgraph.llm.textkernel import VALUES, VALUES_AGAIN, WORD_BASE, WORD_BASE_AGAIN, Words, chunks, sliding_min, window_hashes, window_owner
 from loomgraph.session import prepare
@@ -57,6 +61,8 @@ WIDTH = 50
 UNIT_BYTES = 16 << 20
 PARTITION_BYTES = 1 << 30
 FEW = 2_000
+#: Windows of a unit that are sorted and grouped at once.
+SLICE = 1 << 18
 
 _LAST = np.iinfo(np.int64).max
 _NONE = np.zeros(0, np.uint64)
@@ -84,18 +90,17 @@ def _anchors(words: np.ndarray, width: int) -> np.ndarray:
     return sliding_min(window_hashes(words, half), width - half + 1)
 
 
-def _join(parts: list[np.ndarray], kind: type) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 class _Unit:
-    """The windows of a unit's documents, in groups of equal ones."""
+    """The windows of a unit's documents: by where each begins, two hashes, and the rank of its document's id."""
 
     def __init__(self, table: pa.Table, doc_id: str, text: str, width: int, bits: int, shared: np.ndarray | None = None):
         """All windows, or those with an anchor in ``shared``, which is sorted."""
         ids = table.column(doc_id).combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
-        one, two, owners, starts, bounds = [], [], [], [], [np.zeros(1, np.int64)]
-        words = 0
+        self.known, ranks = np.unique(ids, return_inverse=True)
+        # As many places as there can be words; those that stay unused are never touched and take no memory.
+        most = table.column(text).nbytes // 2 + table.num_rows + 1
+        self.one, self.two, self.starts, self.rank = np.empty(most, np.uint64), np.empty(most, np.uint64), np.empty(most, np.int32), np.empty(most, np.int32)
+        bounds, words, n = [np.zeros(1, np.int64)], 0, 0
         for row, found in _runs(table.column(text)):
             owner, start = window_owner(found.bounds, width)
             if len(start):
@@ -106,43 +111,59 @@ class _Unit:
                     some = np.flatnonzero(shared[at] == anchor) if len(shared) else np.zeros(0, np.int64)
                     owner, start = owner[some], start[some]
                 if len(start):
-                    one.append(window_hashes(hashed, width)[start] >> np.uint64(64 - bits))
-                    two.append(window_hashes(found.hashes(VALUES_AGAIN), width, WORD_BASE_AGAIN)[start])
-                    owners.append(owner + row)
-                    starts.append(start + words)
+                    to = slice(n, n := n + len(start))
+                    self.one[to] = window_hashes(hashed, width)[start] >> np.uint64(64 - bits)
+                    self.two[to] = window_hashes(found.hashes(VALUES_AGAIN), width, WORD_BASE_AGAIN)[start]
+                    self.rank[to] = ranks[owner + row]
+                    self.starts[to] = start + words
             bounds.append(found.bounds[1:] + words)
             words += len(found.starts)
-        self.bounds, self.words, self.width = np.concatenate(bounds), words, width
-        self.starts = _join(starts, np.int64)
-        self.known, rank = np.unique(ids, return_inverse=True)
-        self.rank = rank[_join(owners, np.int64)].astype(np.int32)
-        one, two = _join(one, np.uint64), _join(two, np.uint64)
-        order = np.argsort(one)
-        new = np.ones(len(order), bool)
-        new[1:] = one[order[1:]] != one[order[:-1]]
-        if (~new[1:] & (two[order[1:]] != two[order[:-1]])).any():  # equal first hashes of different windows
-            order = np.lexsort((two, one))
-            new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
-        at = np.flatnonzero(new)
-        self.group = np.empty(len(order), np.int32)
-        self.group[order] = np.cumsum(new) - 1
-        self.one, self.two = one[order[at]], two[order[at]]
-        self.least = np.minimum.reduceat(self.rank[order], at) if len(at) else np.zeros(0, np.int32)
+        self.one, self.two, self.starts, self.rank = self.one[:n], self.two[:n], self.starts[:n], self.rank[:n]
+        self.bounds, self.words, self.width, self.bits = np.concatenate(bounds), words, width, bits
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of equal windows, by slices of the first hash: windows in order, the group of each; both hashes and least rank of each group."""
+        cuts = min(self.bits, (len(self.one) // SLICE).bit_length())
+        for k in range(1 << cuts):
+            first, last = k << self.bits - cuts, (k + 1 << self.bits - cuts) - 1
+            at = np.flatnonzero((self.one >= np.uint64(first)) & (self.one <= np.uint64(last)))
+            if not len(at):
+                continue
+            one, two = self.one[at], self.two[at]
+            order = np.argsort(one)
+            new = np.ones(len(order), bool)
+            new[1:] = one[order[1:]] != one[order[:-1]]
+            if (~new[1:] & (two[order[1:]] != two[order[:-1]])).any():  # equal first hashes of different windows
+                order = np.lexsort((two, one))
+                new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+            begin, at = np.flatnonzero(new), at[order]
+            yield at, np.cumsum(new) - 1, one[order[begin]], two[order[begin]], np.minimum.reduceat(self.rank[at], begin)
 
     def covered(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Which words lie under a window that a smaller id has, in this unit or, as the given hashes say, in another."""
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
-        first = np.searchsorted(one, self.one)
-        elsewhere = np.zeros(len(self.one), bool)
         most = int(np.unique(one, return_counts=True)[1].max(initial=0))
-        for k in range(most):  # more than one only where first hashes of different windows are equal
-            at = np.minimum(first + k, len(one) - 1)
-            elsewhere |= (one[at] == self.one) & (two[at] == self.two)
-        begins = self.starts[elsewhere[self.group] | (self.rank > self.least[self.group])]
-        edge = np.bincount(begins, minlength=self.words + self.width + 1).astype(np.int32)
-        edge[self.width :] -= edge[: -self.width].copy()
-        return np.cumsum(edge)[: self.words] > 0
+        begins = np.zeros(self.words, bool)
+        for at, group, mine, again, least in self.groups():
+            first = np.searchsorted(one, mine)
+            elsewhere = np.zeros(len(mine), bool)
+            for k in range(most):  # more than one only where first hashes of different windows are equal
+                there = np.minimum(first + k, len(one) - 1)
+                elsewhere |= (one[there] == mine) & (two[there] == again)
+            begins[self.starts[at[elsewhere[group] | (self.rank[at] > least[group])]]] = True
+        return widened(begins, self.width)
+
+
+def widened(begins: np.ndarray, width: int) -> np.ndarray:
+    """Which places lie in a run of ``width`` from one of those marked."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        wider = begins.copy()
+        wider[step:] |= begins[:-step]
+        begins, span = wider, span + step
+    return begins
 
 
 def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
@@ -164,18 +185,30 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spread = docs.withColumn(unit, place).repartition(parts, F.col(unit))
 
     def announce(key: tuple, table: pa.Table) -> pa.Table:
+        worker.start()
         seen = [np.unique(_anchors(found.hashes(VALUES), width)[start]) for _, found in _runs(table.column(text)) if len(start := window_owner(found.bounds, width)[1])]
         anchors = np.unique(np.concatenate(seen)) if seen else _NONE
         return pa.table([pa.array(anchors.view(np.int64)), pa.array(np.full(len(anchors), key[0].as_py(), np.int32))], names=["anchor", unit])
 
     def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        worker.start()
         found = _Unit(left, doc_id, text, width, bits, np.sort(_unsigned(right.column("anchor"))))
-        owner = np.full(len(found.one), key[0].as_py(), np.int32)
-        return pa.table([pa.array(found.one.view(np.int64)), pa.array(found.two.view(np.int64)), pa.array(owner), pa.array(found.known[found.least])], names=["one", "two", unit, "least"])
+        out = asking.empty_table()
+        for _, _, one, two, least in found.groups():
+            owner = np.full(len(one), key[0].as_py(), np.int32)
+            out = pa.concat_tables([out, pa.table([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(owner), pa.array(found.known[least])], schema=asking)])
+        del found
+        worker.trim()
+        return out
+
+    def covered(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        found = _Unit(left, doc_id, text, width, bits)
+        return found.covered(_unsigned(right.column("one")), _unsigned(right.column("two"))), found.bounds
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _Unit(left, doc_id, text, width, bits)
-        gone, bounds = found.covered(_unsigned(right.column("one")), _unsigned(right.column("two"))), found.bounds
+        worker.start()
+        gone, bounds = covered(left, right)
+        worker.trim()
         fresh_start = gone.copy()
         fresh_start[1:] &= ~gone[:-1]
         inner = bounds[1:-1][bounds[1:-1] < len(gone)]
@@ -186,18 +219,24 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         stop[back] = gone[back]
         firsts, lasts = np.flatnonzero(fresh_start), np.flatnonzero(stop) + 1
         home = np.searchsorted(bounds, firsts, side="right") - 1
-        total = np.concatenate([[0], np.cumsum(gone)])
-        n_removed = total[bounds[1:]] - total[bounds[:-1]]
-        kept = []
+        total = np.zeros(len(gone) + 1, np.int32)
+        np.cumsum(gone, out=total[1:])
+        n_removed = (total[bounds[1:]] - total[bounds[:-1]]).astype(np.int64)
+        kept, rows = [], 0
         keep = ~gone
-        for k, value in enumerate(left.column(text)):
-            words = (value.as_buffer().to_pybytes() if value.is_valid else b"").split()
-            kept.append(b" ".join(words if not n_removed[k] else compress(words, keep[bounds[k] : bounds[k + 1]].tolist())))
+        for part in left.column(text).chunks:  # so that few kept texts are held twice
+            texts = []
+            for k, value in enumerate(part, rows):
+                words = (value.as_buffer().to_pybytes() if value.is_valid else b"").split()
+                texts.append(b" ".join(words if not n_removed[k] else compress(words, keep[bounds[k] : bounds[k + 1]].tolist())))
+            rows += len(part)
+            kept.append(pa.array(texts, pa.binary()).cast(pa.string()))
         offsets = np.searchsorted(home, np.arange(left.num_rows + 1)).astype(np.int32)
         base = bounds[home]
         spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(firsts - base), pa.array(lasts - base)], names=["first", "last"])).cast(to_arrow_type(SPANS))
-        return pa.table([*[left.column(c) for c in names], pa.array(np.diff(bounds)), pa.array(n_removed), spans, pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, *added])
+        return pa.table([*[left.column(c) for c in names], pa.array(np.diff(bounds)), pa.array(n_removed), spans, pa.chunked_array(kept, pa.string())], names=[*names, *added])
 
+    asking = pa.schema([("one", pa.int64()), ("two", pa.int64()), (unit, pa.int32()), ("least", pa.int64())])
     sent = spread.groupBy(unit).applyInArrow(announce, f"anchor long, `{unit}` int").repartition(parts, "anchor")
     shared = sent.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1").select("anchor", unit)
     asked = spread.groupBy(unit).cogroup(shared.groupBy(unit)).applyInArrow(ask, f"one long, two long, `{unit}` int, least long").repartition(parts, "one", "two")

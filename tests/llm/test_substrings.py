@@ -79,3 +79,63 @@ def test_layout():
     assert substrings.layout(1 << 30, 16 << 20) == (64, 64)
     units, parts = substrings.layout(100 << 40, 16 << 20)
     assert units == 100 << 16 and parts == 100 << 10
+
+
+def test_memory_of_a_unit():
+    """A worker holds 24 bytes for each window and the temporaries of one slice, not several copies of all windows."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from loomgraph.llm import substrings as S
+most = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+words = np.random.default_rng(1).integers(0, 1 << 30, 2_000_000).astype("S10").reshape(-1, 1000)
+texts = [b" ".join(row).decode() for row in words]
+table = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+few = table.slice(0, 20)
+S._Unit(few, "doc_id", "text", 50, 64).covered(S._NONE, S._NONE)
+before = most()
+S._Unit(table, "doc_id", "text", 50, 64).covered(S._NONE, S._NONE)
+print(most() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 120
+
+
+def test_slices_give_the_same_groups(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, *range(9)]), " ".join(rnd.choice("abc") for _ in range(rnd.randrange(40)))) for _ in range(60)]
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+    want = None
+    for size, bits in ((1 << 18, 64), (1 << 18, 3), (7, 64), (7, 3), (1, 2)):
+        monkeypatch.setattr(substrings, "SLICE", size)
+        unit = substrings._Unit(table, "doc_id", "text", 4, bits)
+        found = {(int(b), tuple(sorted(at[group == k].tolist())), int(unit.known[least[k]])) for at, group, _, two, least in unit.groups() for k, b in enumerate(two)}
+        want = want or found
+        assert found == want and sum(len(at) for _, at, _ in found) == len(unit.one)
+        some = sorted({b for b, _, _ in found})[::3]
+        pairs = [(o, t) for o, t in zip(unit.one.tolist(), unit.two.tolist()) if t in some]
+        gone = unit.covered(np.array([o for o, _ in pairs], np.uint64), np.array([t for _, t in pairs], np.uint64))
+        starts = [unit.starts[w] for b, at, least in found for w in at if b in some or unit.known[unit.rank[w]] > least]
+        marked = np.zeros(unit.words, bool)
+        for s in starts:
+            marked[s : s + 4] = True
+        assert gone.tolist() == marked.tolist()
+
+
+def test_tables_of_other_operators_are_dropped():
+    from loomgraph.llm import bpe, worker
+
+    other = worker.kept()
+    other["x"], bpe._COMPILED["y"] = 1, None
+    worker.start(bpe._COMPILED)
+    assert not other and bpe._COMPILED
+    worker.start()
+    assert not bpe._COMPILED
+    worker.trim()
