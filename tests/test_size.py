@@ -1,6 +1,7 @@
 """What plans do with more rows: nothing is moved, sorted or asked twice that need not be."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from loomgraph.plans.registry import QUERIES
@@ -156,3 +157,26 @@ def test_pagerank_by_ranges(spark):
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(60)], "id string")
     one, ranges, joins = ({r["id"]: r["rank"] for r in walks.pagerank(links, nodes, small=s, ranks=k).collect()} for s, k in ((1000, 0), (0, 1000), (0, 0)))
     assert one == pytest.approx(ranges, abs=1e-12) and one == pytest.approx(joins, abs=1e-12)
+
+
+def test_facts_are_read_in_small_splits(spark, tmp_path, monkeypatch):
+    """What is written once is read by tasks of SPLIT_BYTES, whose rows they hold when there are many parts."""
+    from loomgraph import session
+    from loomgraph.bindings import Facts
+
+    monkeypatch.setattr(session, "SPLIT_BYTES", 64 << 10)
+    at = f"{tmp_path}/rows.parquet"
+    duckdb.sql(f"COPY (SELECT hash(i) AS h FROM range(200000) r(i)) TO '{at}' (ROW_GROUP_SIZE 10000, COMPRESSION uncompressed)")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"), spark.read.parquet(at).rdd.getNumPartitions()
+
+    def read(found):
+        from pyspark import TaskContext
+
+        for batch in found:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int32())], names=["task"])
+
+    facts = Facts(spark, DIR)
+    out = facts.once("test-splits", lambda: spark.read.parquet(at).mapInArrow(read, "task int")).groupBy("task").count().collect()
+    tasks = [r["count"] for r in out]
+    assert sum(tasks) == 200_000 and max(tasks) <= 20_000
+    assert (spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"), spark.read.parquet(at).rdd.getNumPartitions()) == before
