@@ -18,6 +18,9 @@ from loomgraph.session import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Words whose ids a worker keeps: 40 MB.
+KEEP_WORDS = 1 << 18
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier accepts."""
@@ -69,8 +72,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with the other columns of documents."""
-    return bpe.encode(docs, BYTE_BPE)
+    """Token ids of each text, with the other columns of documents; workers keep few words, as executors are full by then."""
+    return bpe.encode(docs, BYTE_BPE, keep_words=KEEP_WORDS)
 
 
 STAGES = [

@@ -18,7 +18,9 @@ Copies are persistent: a state is the chain of arcs that its gadgets cut, each
 with the time of its rule, and an arc added later is found through the arc that
 it grew from. Compiling is linear in the number of merges (50,000 merges take
 about two seconds), where tables of all states times all tokens would take 2.5
-billion cells. Arcs and rows of the byte table are made when first used and kept.
+billion cells. Arcs and rows of the byte table are made when first used and kept,
+as are the ids of words, each up to a number: a worker's memory doesn't grow with
+the text that it has read.
 
 Edge cases: a null text encodes as an empty one (no ids, decoded ``""``); strings
 of special tokens in a text become their ids, as the reference library has it;
@@ -32,6 +34,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -46,10 +49,14 @@ from loomgraph.session import prepare
 
 #: GPT-2's pre-tokenisation.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose ids a worker keeps (those of ``KEEP_BYTES`` at most), and arcs; beyond this the tables start anew.
+#: Words whose ids a worker keeps (those of ``KEEP_BYTES`` at most, some 160 bytes each) where ``encode`` isn't told otherwise.
 KEEP_WORDS = 800_000
 KEEP_BYTES = 64
-KEEP_ARCS = 2_000_000
+#: Arcs and rows that are kept; beyond this the tables start anew.
+KEEP_ARCS = 1 << 18
+KEEP_ROWS = 1 << 14
+#: Rows of a batch that are encoded, and given back, at once.
+STEP_ROWS = 250
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -158,7 +165,6 @@ class MergeAutomaton:
                     own.append(-1)
                 state = step[byte]
             own[state] = i
-        self._children = children
         fail, order = [0] * len(children), [0]
         for state in order:
             for byte, child in children[state].items():
@@ -168,7 +174,7 @@ class MergeAutomaton:
                     while back and byte not in children[back]:
                         back = fail[back]
                     fail[child] = children[back].get(byte, 0)
-        self._fail = fail
+        self._fail = array("i", fail)
         #: Tokens that end in a state, longest first, as (length, id).
         self._ends: list[tuple[tuple[int, int], ...]] = [()] * len(children)
         size = [0] * len(children)
@@ -177,10 +183,18 @@ class MergeAutomaton:
                 size[child] = size[state] + 1
             if state:
                 self._ends[state] = (((size[state], own[state]),) if own[state] >= 0 else ()) + self._ends[fail[state]]
+        #: Children of a state: those from its place in ``_first`` to the next one.
+        self._first = array("i", [0, *accumulate(map(len, children))])
+        self._bytes = array("B", [byte for step in children for byte in step])
+        self._child = array("i", [child for step in children for child in step.values()])
         self._rows: list[array | None] = [None] * len(children)
+        self._n_rows = 0
 
     def _row(self, state: int) -> array:
         """A state's transitions by byte."""
+        if self._n_rows >= KEEP_ROWS:
+            self._rows[:] = [None] * len(self._rows)
+            self._n_rows = 0
         todo = [state]
         while todo:
             at = todo[-1]
@@ -189,9 +203,10 @@ class MergeAutomaton:
                 continue
             if self._rows[at] is None:
                 row = array("i", self._rows[self._fail[at]] if at else [0] * 256)
-                for byte, child in self._children[at].items():
-                    row[byte] = child
+                for k in range(self._first[at], self._first[at + 1]):
+                    row[self._bytes[k]] = self._child[k]
                 self._rows[at] = row
+                self._n_rows += 1
             todo.pop()
         return self._rows[state]
 
@@ -224,6 +239,13 @@ class MergeAutomaton:
         out.reverse()
         return out
 
+    def keep(self, words: int) -> None:
+        """Of how many words the ids are kept from now on."""
+        if words < self._known.most:
+            self._known.clear()
+            self._known.aside.clear()
+        self._known.most = words
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
         if not text:
@@ -245,18 +267,28 @@ class MergeAutomaton:
 
 
 class _Known(dict):
-    """Ids of words as raw bytes, walked when first asked for."""
+    """Ids of words as raw bytes, walked when first asked for.
+
+    Once there are half of ``most`` they are put aside, for those that were put aside before;
+    a word that is asked for again comes back, so that common words stay while rare ones go.
+    """
 
     def __init__(self, automaton: MergeAutomaton):
         self._walk = automaton.word
+        self.most = KEEP_WORDS
+        self.aside: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        spelled = word.encode()
-        ids = array("i", self._walk(spelled)).tobytes()
-        if len(spelled) <= KEEP_BYTES:
-            if len(self) >= KEEP_WORDS:
-                self.clear()
-            self[word] = ids
+        ids = self.aside.get(word)
+        if ids is None:
+            spelled = word.encode()
+            ids = array("i", self._walk(spelled)).tobytes()
+            if len(spelled) > KEEP_BYTES:
+                return ids
+        if len(self) >= self.most // 2:
+            self.aside = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -291,6 +323,7 @@ def compiled(raw: str) -> MergeAutomaton:
     if key not in _COMPILED:
         _COMPILED.clear()
         _COMPILED[key] = MergeAutomaton.from_json(raw)
+        worker.trim()
     return _COMPILED[key]
 
 
@@ -303,8 +336,11 @@ def load(spark: SparkSession, path: str) -> Any:
     return spark.sparkContext.broadcast(raw)
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
-    """Adds the ids of every whole text, how many they are and, if named, the text decoded from them."""
+def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None, keep_words: int | None = None) -> DataFrame:
+    """Adds the ids of every whole text, how many they are and, if named, the text decoded from them.
+
+    ``keep_words``: of how many words a worker keeps the ids (``KEEP_WORDS``); fewer take less memory and more time.
+    """
     new = [ids, n_tokens, *([decoded] if decoded else [])]
     docs = without(docs, new)
     spark = prepare(docs.sparkSession)
@@ -314,7 +350,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.start(_COMPILED)
         automaton = compiled(tokenizer.value)
-        for batch in batches:
+        automaton.keep(keep_words or KEEP_WORDS)
+        for batch in (b.slice(k, STEP_ROWS) for b in batches for k in range(0, b.num_rows, STEP_ROWS)):
             found = [automaton.encode(x) for x in batch.column(text).to_pylist()]
             sizes = np.array([len(x) for x in found], np.int64)
             offsets = np.zeros(len(found) + 1, np.int32)

@@ -3,7 +3,8 @@
 A worker keeps tables from task to task (the automaton of ``bpe``, say, with
 hundreds of thousands of words). ``start`` drops those of other operators, so
 that a worker holds the tables of one operator only, and ``trim`` gives what is
-free back to the system, where it would count for as long as the worker lives.
+free back to the system, where it would count for as long as the worker lives;
+``start`` does so too, where nothing is kept for what begins.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ def kept() -> dict:
 
 
 def start(mine: dict | None = None) -> None:
-    """Drops what is kept, but for ``mine``."""
+    """Drops what is kept, but for ``mine``, and gives back what the last task has left."""
     others = [x for x in _KEPT if x and x is not mine]
     for x in others:
         x.clear()
     if others:
         gc.collect()
+    if others or not mine:
         trim()
 
 

@@ -76,3 +76,46 @@ def test_one_long_word(pair):
     long = "".join(rnd.choices("abcdefghij", k=1_000_000))
     assert automaton.decode(automaton.encode(long)).decode() == long
     assert max(map(len, automaton._known)) <= bpe.KEEP_BYTES
+
+
+def test_tables_stay_bounded(pair, tokenizer_path, monkeypatch):
+    """However many words a worker has read, it keeps a stated number of words, arcs and rows; ids stay right as they go."""
+    for name, most in (("KEEP_WORDS", 200), ("KEEP_ARCS", 300), ("KEEP_ROWS", 100)):
+        monkeypatch.setattr(bpe, name, most, raising=False)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        automaton = bpe.MergeAutomaton.from_json(f.read())
+    rnd = random.Random(4)
+    for _ in range(60):
+        text = "the same again " + " ".join("".join(rnd.choices("abcdeßé漢0", k=rnd.randrange(1, 9))) for _ in range(50))
+        assert list(automaton.encode(text)) == pair[1].encode(text, add_special_tokens=False).ids
+        assert len(automaton._known) + len(automaton._known.aside) <= 200
+        assert len(automaton._arcs) <= 300
+        assert sum(row is not None for row in automaton._rows) <= 100 + 64  # with those that one row is grown from
+        assert " same" in automaton._known or " same" in automaton._known.aside
+
+
+def test_a_batch_is_given_back_in_steps(spark, tokenizer_path, pair, monkeypatch):
+    """A worker doesn't hold a whole batch with all its ids: it gives rows back a step at a time, each once and in order."""
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "concat('w ', id) AS text")
+    batch = docs.toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    given = list(bpe.encode(docs, tokenizer_path)(iter([batch])))
+    assert max(b.num_rows for b in given) <= 250
+    rows = [r for b in given for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(2000)]
+    assert all(r["ids"] == pair[0].encode(r["text"]).tolist() and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_a_worker_starts_trimmed(monkeypatch):
+    """What one task has left free is given back before the next, but not while an operator's own tables are in use."""
+    trimmed, mine = [], bpe.worker.kept()
+    bpe.worker.start()
+    monkeypatch.setattr(bpe.worker, "trim", lambda: trimmed.append(1))
+    bpe.worker.start()
+    assert trimmed == [1]
+    mine["table"] = 1
+    bpe.worker.start(mine)
+    assert trimmed == [1] and mine
+    bpe.worker.start()
+    assert trimmed == [1, 1] and not mine
+    bpe.worker._KEPT.pop()
